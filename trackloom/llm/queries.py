@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.components import group_records, vertex_number, vertex_text
+from trackloom.llm.leaks import find_leaks
 from trackloom.llm.nearest import nearest_in_time
+from trackloom.llm.tokens import encode_texts
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,4 +29,12 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("label_id", "click_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_texts(table(spark, sf, "documents"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "bench_items")).select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found}

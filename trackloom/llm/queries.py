@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.components import group_records, vertex_number, vertex_text
 from trackloom.llm.leaks import find_leaks
 from trackloom.llm.nearest import nearest_in_time
+from trackloom.llm.stuffed import stuffed_pages
 from trackloom.llm.tokens import encode_texts
 
 
@@ -37,4 +38,8 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(table(spark, sf, "documents"), table(spark, sf, "bench_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return stuffed_pages(table(spark, sf, "documents")).select("doc_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}

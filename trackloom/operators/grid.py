@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.plans.cut import cut
+from trackloom.plans.joins import null_safe_join
 
 SEG = 64
 
@@ -131,9 +132,8 @@ def _whole_holes(segs: DataFrame, keys: Sequence[str]) -> DataFrame:
     segs = segs.withColumn("p", F.lag("seg").over(inner)).withColumn("q", F.lead("seg").over(inner))
     ends = segs.groupBy(*keys, "blk").agg(F.min("seg").alias("a"), F.max("seg").alias("z"))
     ends = ends.withColumn("pz", F.lag("z").over(over)).withColumn("na", F.lead("a").over(over))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "blk"]]
-    both = segs.alias("l").join(ends.alias("r"), same, "left")
-    return both.select("l.*", F.coalesce("l.p", "r.pz").isNotNull().alias("has_prev"), F.coalesce("l.q", "r.na").alias("next_seg")).drop("p", "q", "blk")
+    both = null_safe_join(segs, ends.drop("a", "z"), [*keys, "blk"], "left")
+    return both.withColumn("has_prev", F.coalesce("p", "pz").isNotNull()).withColumn("next_seg", F.coalesce("q", "na")).drop("p", "q", "pz", "na", "blk")
 
 
 def regular_grid(df: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], width: int, *, rank: int = 3, rounds: int = 3, ridge: float = 0.5, only_missing: bool = False) -> DataFrame:

@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys equal each other; the keys come from the left side."""
+    named = right.select(*(F.col(k).alias(f"_j_{k}") for k in on), *(c for c in right.columns if c not in on))
+    match = [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in on]
+    return left.join(named, match, how).drop(*(f"_j_{k}" for k in on))
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", *, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Equi-join; ``small`` is broadcast only if counting stops at or below ``limit`` rows, else AQE splits skewed keys."""
+    """Null-safe join; ``small`` is broadcast only if counting stops at or below ``limit`` rows, else AQE splits skewed keys."""
     if small.limit(limit + 1).count() <= limit:
         small = F.broadcast(small)
-    return big.join(small, list(on), how)
+    return null_safe_join(big, small, on, how)

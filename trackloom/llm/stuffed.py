@@ -36,8 +36,8 @@ _KIND = {w: k for k, v in FUNCTION.items() for w in v.split()}
 _CONTENT = {CLASS["lower"], CLASS["upper"], CLASS["caps"]}
 #: A content word counts as repeated if its sentence had it at most this many tokens before.
 WINDOW = 250
-#: Pages this many standard errors away from the model's mean surprise are candidates.
-ABNORMAL = 3.0
+#: A page's perplexity is abnormal if its mean surprise is above or below these multiples of the model's own over prose.
+HIGH, LOW = 1.5, 0.5
 #: Words a list needs, and longest usual tag.
 LIST, LONG = 8, 13
 
@@ -236,6 +236,9 @@ class Model:
     mean: float
     variance: float
 
+    def abnormal(self, surprise: np.ndarray) -> np.ndarray:
+        return (surprise > HIGH * self.mean) | (surprise < LOW * self.mean)
+
     @staticmethod
     def of(counts: np.ndarray, k: float = 3.0) -> Model:
         c3 = counts.reshape(K, K, K)
@@ -284,7 +287,7 @@ def _judge(model: Model, every: bool):
                     lexicon = Lexicon()
                 part = batch.slice(a, 500)
                 mean, z, share = judge(part.column(1).to_pylist(), model, lexicon)
-                keep = np.flatnonzero(every | ((np.abs(z) > ABNORMAL) & (share > 0.5)))
+                keep = np.flatnonzero(every | (model.abnormal(mean) & (share > 0.5)))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array(mean[keep]), pa.array(z[keep]), pa.array(share[keep])], schema=schema)
 
     return run

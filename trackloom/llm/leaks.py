@@ -126,9 +126,9 @@ def _promising(items: Items, ids: np.ndarray, d: np.ndarray, k: np.ndarray, p: n
 
 def align(doc: list[int], item: list[int], diagonal: int, band: int) -> tuple[int, int, int]:
     """Best local alignment near a diagonal: (item words spanned, equal words, errors); an error costs two equal words."""
-    n, best, out = len(doc), 0, (0, 0, 0)
+    n, best, out, ends = len(doc), 0, (0, 0, 0), (0, 0, 0, 0)
     width = 2 * band + 1
-    zero = (0, 0, 0, 0)  # score, first item word, equal, errors
+    zero = (0, 0, 0, 0, 0)  # score, first item word, first document word, equal, errors
     row = [zero] * (width + 1)
     for i, w in enumerate(item):
         new = [zero] * (width + 1)
@@ -140,26 +140,40 @@ def align(doc: list[int], item: list[int], diagonal: int, band: int) -> tuple[in
                 continue
             dg = row[b]
             if doc[j] == w:
-                cell = (dg[0] + 1, dg[1], dg[2] + 1, dg[3]) if dg[0] > 0 else (1, i, 1, 0)
+                cell = (dg[0] + 1, dg[1], dg[2], dg[3] + 1, dg[4]) if dg[0] > 0 else (1, i, j, 1, 0)
             else:
                 up = row[b + 1]
                 top = dg if dg[0] >= up[0] else up
                 if left[0] > top[0]:
                     top = left
-                cell = (top[0] - 2, top[1], top[2], top[3] + 1) if top[0] > 2 else zero
+                cell = (top[0] - 2, top[1], top[2], top[3], top[4] + 1) if top[0] > 2 else zero
             new[b] = left = cell
             if cell[0] > best:
-                best, out = cell[0], (i + 1 - cell[1], cell[2], cell[3])
+                best, out, ends = cell[0], (i + 1 - cell[1], cell[3], cell[4]), (cell[1], cell[2], i, j)
         row = new
-    return out
+    if not best or out[0] >= PASSAGE:
+        return out
+    # near either end few equal words behind an error do not pay for the error, yet belong to the passage
+    span, equal, errors = out
+    for i, j, step in ((ends[0], ends[1], -1), (ends[2], ends[3], 1)):
+        word = lambda seq, at: seq[at] if 0 <= at < len(seq) else None
+        for di, dj in ((2, 2), (2, 1), (1, 2)):
+            x = word(item, i + step * di)
+            if x is not None and x == word(doc, j + step * dj):
+                span, equal, errors = span + di, equal + 1, errors + 1
+                i, j = i + step * (di + 1), j + step * (dj + 1)
+                while (x := word(item, i)) is not None and x == word(doc, j):
+                    span, equal, i, j = span + 1, equal + 1, i + step, j + step
+                break
+    return span, equal, errors
 
 
 def leaks(span: int, equal: int, errors: int, length: int) -> bool:
     """Whether an aligned passage is long and exact enough for an item of the given length."""
     need = min(PASSAGE, length)
-    # an error at either end of a passage is cut off by the alignment
+    # an error in the first or last word of a passage is cut off by the alignment
     missing = max(0, need - span)
-    return missing <= max(1, int(0.1 * need)) and errors + missing <= max(1, round(ERRORS * max(span, need)))
+    return missing <= 2 and errors + missing <= max(1, round(ERRORS * max(span, need)))
 
 
 def find_in(items: Items, docs: list[list[int]]) -> list[tuple[int, int, int, int, int]]:

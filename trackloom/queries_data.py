@@ -115,7 +115,7 @@ SELECT series, match_id, chunk, tid, unnest(range(period + 1, nxt)) AS period FR
 P5_SQL = """
 WITH i AS (
   SELECT 'fragment' AS series, match_id, chunk, role || ':' || team AS entity, start_frame AS s, end_frame AS e FROM fragments WHERE role IS NOT NULL AND start_frame <= end_frame
-  UNION ALL SELECT 'event', match_id, chunk, CAST(slot AS VARCHAR), t0, t1 FROM reappearances WHERE t0 <= t1),
+  UNION SELECT 'event', match_id, chunk, CAST(slot AS VARCHAR), t0, t1 FROM reappearances WHERE t0 <= t1),
 m AS (SELECT *, max(e) OVER (PARTITION BY series, match_id, chunk, entity ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM i),
 g AS (SELECT *, sum(CASE WHEN far IS NULL OR s > far + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY series, match_id, chunk, entity ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m),
 p AS (SELECT series, match_id, chunk, entity, min(s) AS f0, max(e) AS f1 FROM g GROUP BY series, match_id, chunk, entity, k),

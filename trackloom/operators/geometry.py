@@ -1,0 +1,128 @@
+"""Homographies, carried calibration, smoothed camera series."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+H = "array<double>"
+
+
+def fit_homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
+    """Least-squares 3 x 3 homography of at least four point pairs, from centred and scaled points."""
+    if len(src) < 4:
+        return None
+
+    def scaled(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = p.mean(0)
+        s = np.sqrt(2) / max(np.linalg.norm(p - c, axis=1).mean(), 1e-12)
+        return (p - c) * s, np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]])
+
+    a, ta = scaled(np.asarray(src, float))
+    b, tb = scaled(np.asarray(dst, float))
+    one, zero = np.ones(len(a)), np.zeros(len(a))
+    x, y, u, v = a[:, 0], a[:, 1], b[:, 0], b[:, 1]
+    rows = np.concatenate([np.stack([-x, -y, -one, zero, zero, zero, u * x, u * y, u], 1), np.stack([zero, zero, zero, -x, -y, -one, v * x, v * y, v], 1)])
+    h = np.linalg.inv(tb) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ ta
+    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
+
+
+def transform(h: np.ndarray, pts: np.ndarray) -> np.ndarray:
+    q = np.column_stack([pts, np.ones(len(pts))]) @ h.T
+    return q[:, :2] / q[:, 2:]
+
+
+def frame_homographies(rows: DataFrame, *, least: int = 8) -> DataFrame:
+    """(chunk, frame, h): image to pitch, of frames with enough rows that carry both coordinates."""
+    r = rows.where("image_x IS NOT NULL AND image_y IS NOT NULL AND pitch_x IS NOT NULL AND pitch_y IS NOT NULL")
+    g = r.groupBy("chunk", "frame").agg(F.array_sort(F.collect_list(F.struct("image_x", "image_y", "pitch_x", "pitch_y"))).alias("p")).where(F.size("p") >= least)
+
+    def run(parts):
+        for pdf in parts:
+            hs = []
+            for p in pdf["p"]:
+                m = np.array([list(q.values()) if isinstance(q, dict) else list(q) for q in p], float)
+                h = fit_homography(m[:, :2], m[:, 2:])
+                hs.append(None if h is None else h.ravel().tolist())
+            yield pd.DataFrame({"chunk": pdf["chunk"], "frame": pdf["frame"], "h": hs})
+
+    return g.mapInPandas(run, f"chunk long, frame long, h {H}").where("h IS NOT NULL")
+
+
+def carried(frames: DataFrame, hs: DataFrame, *, most: int) -> DataFrame:
+    """(chunk, frame, h): a frame's own homography, else the blend of the two around it, else the nearer one, none beyond ``most`` frames."""
+    j = frames.select("chunk", "frame").distinct().join(hs, ["chunk", "frame"], "left")
+    w = Window.partitionBy("chunk").orderBy("frame")
+    own = F.when(F.col("h").isNotNull(), F.struct("frame", "h"))
+    j = j.withColumn("p", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    dp, dn = F.col("frame") - F.col("p.frame"), F.col("n.frame") - F.col("frame")
+    u = F.when(dp + dn > 0, dp / (dp + dn)).otherwise(0.0)
+    blend = F.expr("zip_with(p.h, n.h, (a, b) -> struct(a, b))")
+    mixed = F.transform(blend, lambda s: s["a"] + (s["b"] - s["a"]) * u)
+    h = F.when((dp <= most) & (dn <= most), mixed).when(dp <= most, F.col("p.h")).when(dn <= most, F.col("n.h"))
+    return j.select("chunk", "frame", h.alias("h")).where("h IS NOT NULL")
+
+
+def projected(rows: DataFrame, hs: DataFrame, *, only_missing: bool = True) -> DataFrame:
+    """Rows with pitch coordinates from their frame's homography; with ``only_missing`` present ones are kept, points off the pitch stay null."""
+    at = lambda i: F.expr(f"h[{i}]")
+    x, y = F.col("image_x"), F.col("image_y")
+    w = at(6) * x + at(7) * y + at(8)
+    px, py = (at(0) * x + at(1) * y + at(2)) / w, (at(3) * x + at(4) * y + at(5)) / w
+    inside = px.between(-2, 107) & py.between(-2, 70)
+    j = rows.join(hs, ["chunk", "frame"], "left")
+    new = {"pitch_x": F.when(inside, px), "pitch_y": F.when(inside, py)}
+    keep: dict[str, Column] = {c: F.coalesce(F.col(c), v) if only_missing else F.coalesce(v, F.col(c)) for c, v in new.items()}
+    return j.withColumns(keep).drop("h")
+
+
+def reprojection_error(rows: DataFrame, hs: DataFrame) -> DataFrame:
+    """(chunk, frame, error_m): mean distance of placed rows to their projection."""
+    j = projected(rows.withColumns({"_x": F.col("pitch_x"), "_y": F.col("pitch_y")}), hs, only_missing=False).where("_x IS NOT NULL AND _y IS NOT NULL")
+    return j.groupBy("chunk", "frame").agg(F.avg(F.sqrt((F.col("pitch_x") - F.col("_x")) ** 2 + (F.col("pitch_y") - F.col("_y")) ** 2)).alias("error_m"))
+
+
+def smooth_series(x: np.ndarray, seen: np.ndarray, *, meas: float, accel: float) -> np.ndarray:
+    """Constant-velocity filter forward, then backward smoothing; unseen samples are predicted."""
+    n = len(x)
+    f = np.array([[1.0, 1.0], [0.0, 1.0]])
+    q = accel**2 * np.array([[0.25, 0.5], [0.5, 1.0]])
+    first = int(np.flatnonzero(seen)[0]) if seen.any() else 0
+    m, p = np.array([x[first] if seen.any() else 0.0, 0.0]), np.diag([meas**2 * 10, 1e3 * accel**2 + 1.0])
+    ms, ps, mp, pp = np.zeros((n, 2)), np.zeros((n, 2, 2)), np.zeros((n, 2)), np.zeros((n, 2, 2))
+    for i in range(n):
+        if i:
+            m, p = f @ m, f @ p @ f.T + q
+        mp[i], pp[i] = m, p
+        if seen[i]:
+            k = p[:, 0] / (p[0, 0] + meas**2)
+            m, p = m + k * (x[i] - m[0]), p - np.outer(k, p[0])
+        ms[i], ps[i] = m, p
+    out = ms.copy()
+    for i in range(n - 2, -1, -1):
+        g = ps[i] @ f.T @ np.linalg.inv(pp[i + 1])
+        out[i] = ms[i] + g @ (out[i + 1] - mp[i + 1])
+    return out[:, 0]
+
+
+def smoothed(rows: DataFrame, key: str, t: str, value: str, *, meas: float = 1.0, accel: float = 0.1) -> DataFrame:
+    """(key, t, smooth): each series (null values are unseen) smoothed in one task per key."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(t)
+        x = pdf[value].to_numpy(float)
+        return pd.DataFrame({key: pdf[key], t: pdf[t], "smooth": smooth_series(np.nan_to_num(x), ~np.isnan(x), meas=meas, accel=accel)})
+
+    return rows.select(key, t, value).groupBy(key).applyInPandas(run, f"{key} {kind}, {t} long, smooth double")
+
+
+def model_points(segments: DataFrame, *, step: float = 1.0) -> DataFrame:
+    """(segment, x, y): points every ``step`` metres along pitch lines (segment, x0, y0, x1, y1), both ends included."""
+    length = F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2)
+    n = F.greatest(F.ceil(length / step), F.lit(1)).cast("int")
+    s = segments.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    u = F.col("k") / F.col("n")
+    return s.select("segment", (F.col("x0") + u * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + u * (F.col("y1") - F.col("y0"))).alias("y"))

@@ -191,7 +191,8 @@ def find_in(items: Items, docs: list[list[int]]) -> list[tuple[int, int, int, in
     if not len(d):
         return []
     # one hit per item, diagonal band and stretch of the item
-    key = (k.astype(np.int64) * (len(ids) * 2 + 400_000) + (d - p + 200_000)) * 64 + np.minimum(p // 16, 63)
+    longest = int(items.lengths.max())
+    key = (k.astype(np.int64) * (len(ids) + longest) + (d - p + longest)) * (longest // 16 + 1) + p // 16
     first = np.unique(key, return_index=True)[1]
     d, k, p = d[first], k[first], p[first]
     keep = np.zeros(len(d), bool)

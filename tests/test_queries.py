@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(FOLDER), reason="no test tabl
 
 def one(x):
     x = x.tolist() if hasattr(x, "tolist") else x
-    if x is None or x != x or str(x) in ("<NA>", "NaT"):
+    if x is None or str(x) in ("<NA>", "NaT", "nan"):
         return None
     if isinstance(x, bool):
         return x
@@ -52,7 +52,6 @@ def test_runs_without_sql(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert entry.entry.__doc__ is None or True
 
 
 def test_partition_count_does_not_matter(spark):

@@ -158,7 +158,7 @@ def strongest_peaks(peaks: DataFrame, keys: list[str], *, gap: int) -> DataFrame
     p = p.withColumn("_c", F.sum("_new").over(w))
     g = p.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("neg"), "frame"))).alias("l"))
     kept = F.expr(f"aggregate(l, cast(array() as array<struct<neg:double,frame:bigint>>), (a, x) -> IF(exists(a, k -> abs(k.frame - x.frame) <= {gap}), a, array_append(a, named_struct('neg', cast(x.neg as double), 'frame', cast(x.frame as bigint)))))")
-    return g.select(*keys, F.explode(kept).alias("k")).select(*keys, "k.frame", (-F.col("k.neg")).alias("conf"))
+    return g.select(*keys, F.explode(kept).alias("_k")).select(*keys, "_k.frame", (-F.col("_k.neg")).alias("conf"))
 
 
 def live_segments(grid: DataFrame, *, merge: int, pad: int) -> DataFrame:

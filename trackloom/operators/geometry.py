@@ -54,9 +54,9 @@ def frame_homographies(rows: DataFrame, *, least: int = 8) -> DataFrame:
 def carried(frames: DataFrame, hs: DataFrame, *, most: int) -> DataFrame:
     """(chunk, frame, h): a frame's own homography, else the blend of the two around it, else the nearer one, none beyond ``most`` frames."""
     j = frames.select("chunk", "frame").distinct().join(hs, ["chunk", "frame"], "left")
-    w = Window.partitionBy("chunk").orderBy("frame")
+    w, back = Window.partitionBy("chunk").orderBy("frame"), Window.partitionBy("chunk").orderBy(F.desc("frame"))
     own = F.when(F.col("h").isNotNull(), F.struct("frame", "h"))
-    j = j.withColumn("p", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    j = j.withColumn("p", F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.last(own, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     dp, dn = F.col("frame") - F.col("p.frame"), F.col("n.frame") - F.col("frame")
     u = F.when(dp + dn > 0, dp / (dp + dn)).otherwise(0.0)
     blend = F.expr("zip_with(p.h, n.h, (a, b) -> struct(a, b))")

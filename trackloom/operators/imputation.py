@@ -40,8 +40,9 @@ def between_sightings(rows: DataFrame, keys: list[str], t: str, value: str, visi
     """Rows with last and next visible time and value of their key."""
     w = Window.partitionBy(*keys).orderBy(t)
     s = F.when(F.col(visible), F.struct(F.col(t).alias("t"), F.col(value).alias("v")))
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("_p", F.last(s, ignorenulls=True).over(back)).withColumn("_n", F.first(s, ignorenulls=True).over(ahead)).select(
+    # a frame that shrinks from the left is evaluated anew for each row, so the next sighting is the last one in reverse order
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy(F.desc(t)).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_p", F.last(s, ignorenulls=True).over(back)).withColumn("_n", F.last(s, ignorenulls=True).over(ahead)).select(
         *rows.columns, F.col("_p.t").alias("t_last"), F.col("_p.v").alias("v_last"), F.col("_n.t").alias("t_next"), F.col("_n.v").alias("v_next"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,11 +117,24 @@ def control_cells(tracks: DataFrame, *, nx: int = 21, ny: int = 14, sigma: float
     p = tracks.where("team IN (0, 1)").select(*FRAME, "team", (F.col("pitch_x") + F.coalesce("vx", F.lit(0.0)) * ahead).alias("px"), (F.col("pitch_y") + F.coalesce("vy", F.lit(0.0)) * ahead).alias("py"))
     ok = p.groupBy(*FRAME).agg(F.count(F.when(F.col("team") == 0, 1)).alias("a"), F.count(F.when(F.col("team") == 1, 1)).alias("b")).where("a >= 3 AND b >= 3").select(*FRAME)
     p = p.join(ok, FRAME)
-    axis = lambda n, top: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * (top / (n - 1)))
-    p = p.withColumn("gx", F.explode(axis(nx, P.LENGTH))).withColumn("gy", F.explode(axis(ny, P.WIDTH)))
-    inf = F.exp(-((F.col("gx") - F.col("px")) ** 2 + (F.col("gy") - F.col("py")) ** 2) / (2 * sigma * sigma))
-    g = p.groupBy(*FRAME, "gx", "gy").agg(F.sum(F.when(F.col("team") == 0, inf).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("team") == 1, inf).otherwise(0.0)).alias("b"))
-    return g.select(*FRAME, "gx", "gy", (F.col("a") / (F.col("a") + F.col("b") + 1e-9)).alias("control"))
+    g = p.groupBy(*FRAME).agg(F.collect_list(F.struct("team", "px", "py")).alias("p"))
+    gx, gy = (v.ravel() for v in np.meshgrid(np.linspace(0, P.LENGTH, nx), np.linspace(0, P.WIDTH, ny)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                lists = part.column("p")
+                ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                flat = lists.flatten()
+                team, px, py = (flat.field(c).to_numpy(zero_copy_only=False)[:, None] for c in ("team", "px", "py"))
+                inf = np.exp(-((gx - px) ** 2 + (gy - py) ** 2) / (2 * sigma * sigma))
+                own, all_ = (np.add.reduceat(v, ends[:-1], axis=0) for v in (inf * (team == 0), inf))
+                n = part.num_rows
+                cols = [part.column(c).take(pa.array(np.repeat(np.arange(n), len(gx)))) for c in FRAME]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.tile(gx, n)), pa.array(np.tile(gy, n)), pa.array((own / (all_ + 1e-9)).ravel())], [*FRAME, "gx", "gy", "control"])
+
+    return g.mapInArrow(run, "chunk long, frame long, gx double, gy double, control double")
 
 
 def space_control(cells: DataFrame, dirs: DataFrame) -> DataFrame:

@@ -76,8 +76,9 @@ def test_bootstrap_is_centred(spark):
 def test_small_statistics(spark):
     df = spark.createDataFrame([(1, 0.9, True), (2, 0.8, False), (3, 0.7, True), (4, 0.1, False)], "i long, s double, y boolean")
     assert abs(X.roc_auc(df.withColumn("g", F.lit(1)), ["g"], "s", "y").first()["auc"] - 0.75) < 1e-12
-    f = X.frontier(df, "s", "y", "i")
-    assert X.coverage_at(f, 0.66).first()["coverage"] == 0.75 and X.coverage_at(f, 1.1).first()["coverage"] == 0
+    g = df.withColumn("g", F.lit(1))
+    f = X.frontier(g, ["g"], "s", "y", "i")
+    assert X.coverage_at(f, ["g"], 0.66).first()["coverage"] == 0.75 and X.coverage_at(f, ["g"], 1.1).first()["coverage"] == 0
     assert X.conformal_radius(df.withColumn("g", F.lit(1)), ["g"], "s", alpha=0.5).first()["k"] == 0.8
     assert X.conformal_radius(df.withColumn("g", F.lit(1)), ["g"], "s", alpha=0.01).first()["k"] == float("inf")
     p = spark.createDataFrame([(0.2, 0.3, 0.5, 2)], "a double, b double, c double, k int")

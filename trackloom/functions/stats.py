@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.plans.joins import null_safe_join
+from trackloom.plans.ordered import prefix_sums
+
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Ranks from 1 with ties sharing their mean."""
-    w, same = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys, value)
-    return df.withColumn(out, F.rank().over(w) + (F.count("*").over(same) - 1) / 2)
+    """Ranks from 1 with ties sharing their mean; ranks are found over the distinct values, whatever a key's size."""
+    c = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    r = prefix_sums(c, keys, value, {"_upto": F.col("_c")}).select(*keys, value, (F.col("_upto") - F.col("_c") / 2 + 0.5).alias(out))
+    return null_safe_join(df, r, [*keys, value])
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str, *, least: int = 3) -> DataFrame:
@@ -19,9 +23,11 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str, *, least: int = 3)
 
 
 def roc_auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
-    """(keys, auc) by the rank sum of the positives; null without both classes."""
-    r = average_rank(df, keys, score, "_r").groupBy(*keys).agg(F.sum(F.when(F.col(positive), F.col("_r"))).alias("s"), F.count(F.when(F.col(positive), 1)).alias("p"), F.count(F.when(~F.col(positive), 1)).alias("q"))
-    return r.select(*keys, F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
+    """(keys, auc): chance that a positive outscores a negative, ties half, from counts per score; null without both classes."""
+    c = df.groupBy(*keys, score).agg(F.count(F.when(F.col(positive), 1)).alias("_p"), F.count(F.when(~F.col(positive), 1)).alias("_q"))
+    c = prefix_sums(c, keys, score, {"_below": F.col("_q")})
+    won = F.sum(F.col("_p") * (F.col("_below") - F.col("_q") / 2))
+    return c.groupBy(*keys).agg(F.try_divide(won, F.sum("_p") * F.sum("_q")).alias("auc"))
 
 
 def reliability(df: DataFrame, p: str, y: str, *, bins: int = 10) -> DataFrame:
@@ -52,35 +58,38 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 def conformal_radius(df: DataFrame, keys: list[str], score: str, *, alpha: float = 0.1) -> DataFrame:
     """(keys, k): the ceil((n + 1)(1 - alpha))-th smallest score, infinite if there are too few."""
-    w, whole = Window.partitionBy(*keys).orderBy(score), Window.partitionBy(*keys)
-    d = df.select(*keys, score, F.row_number().over(w).alias("r"), F.count("*").over(whole).alias("n"))
-    need = F.ceil((F.col("n") + 1) * (1 - alpha))
-    return d.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("r") == need, F.col(score))), F.lit(float("inf"))).alias("k"))
+    c = df.groupBy(*keys, score).agg(F.count("*").alias("_c"))
+    c = prefix_sums(c, keys, score, {"_upto": F.col("_c")})
+    n = c.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    need = F.ceil((F.col("_n") + 1) * (1 - alpha))
+    return null_safe_join(c, n, keys).groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("_upto") >= need, F.col(score))), F.lit(float("inf"))).alias("k"))
 
 
 def risk_coverage(df: DataFrame, keys: list[str], err: str, conf: str, *ties: str) -> DataFrame:
     """(keys, aurc, augrc): areas of selective and generalised risk, surest (smallest conf) rows first."""
-    w = Window.partitionBy(*keys).orderBy(conf, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.select(*keys, (F.sum(err).over(w)).alias("s"), F.count("*").over(w).alias("k"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    return d.groupBy(*keys).agg(F.avg(F.col("s") / F.col("k")).alias("aurc"), F.avg(F.col("s") / F.col("n")).alias("augrc"))
+    d = prefix_sums(df.select(*keys, err, conf, *ties), keys, conf, {"_s": F.col(err), "_k": F.lit(1)}, *ties)
+    return d.groupBy(*keys).agg(F.avg(F.col("_s") / F.col("_k")).alias("aurc"), (F.sum("_s") / F.count("*") / F.count("*")).alias("augrc"))
 
 
-def frontier(df: DataFrame, conf: str, correct: str, *ties: str, total: int | None = None) -> DataFrame:
-    """(k, threshold, coverage, precision): answers by falling confidence, one row each."""
-    w = Window.orderBy(F.desc(conf), *ties).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.lit(total) if total else F.count("*").over(Window.partitionBy())
-    return df.select(F.count("*").over(w).alias("k"), F.col(conf).alias("threshold"), (F.count("*").over(w) / n).alias("coverage"), (F.sum(F.col(correct).cast("long")).over(w) / F.count("*").over(w)).alias("precision"))
+def frontier(df: DataFrame, keys: list[str], conf: str, correct: str, *ties: str) -> DataFrame:
+    """(keys, k, threshold, coverage, precision): answers by falling confidence, one row each."""
+    d = prefix_sums(df.select(*keys, conf, correct, *ties), keys, conf, {"k": F.lit(1), "_ok": F.col(correct).cast("long")}, *ties, descending=True)
+    n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return null_safe_join(d, n, keys).select(*keys, "k", F.col(conf).alias("threshold"), (F.col("k") / F.col("_n")).alias("coverage"), (F.col("_ok") / F.col("k")).alias("precision"))
 
 
-def coverage_at(front: DataFrame, floor: float) -> DataFrame:
-    return front.agg(F.coalesce(F.max(F.when(F.col("precision") >= floor, F.col("coverage"))), F.lit(0.0)).alias("coverage"))
+def coverage_at(front: DataFrame, keys: list[str], floor: float) -> DataFrame:
+    return front.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("precision") >= floor, F.col("coverage"))), F.lit(0.0)).alias("coverage"))
 
 
 def gini(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, gini) of non-negative weights; null where they sum to nothing."""
-    w, whole = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys)
-    d = df.select(*keys, F.col(value).alias("v"), F.row_number().over(w).alias("r"), F.count("*").over(whole).alias("n"))
-    return d.groupBy(*keys).agg(F.try_divide(F.sum((2 * F.col("r") - F.col("n") - 1) * F.col("v")), F.max("n") * F.sum("v")).alias("gini"))
+    """(keys, gini) of non-negative weights, from counts per weight; null where they sum to nothing."""
+    c = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    c = prefix_sums(c, keys, value, {"_upto": F.col("_c")})
+    # the mean rank of equal weights stands for each of them
+    mean_rank = F.col("_upto") - (F.col("_c") - 1) / 2
+    g = c.groupBy(*keys).agg(F.sum(F.col("_c") * F.col(value)).alias("_s"), F.sum("_c").alias("_n"), F.sum(mean_rank * F.col("_c") * F.col(value)).alias("_r"))
+    return g.select(*keys, F.try_divide(2 * F.col("_r") - (F.col("_n") + 1) * F.col("_s"), F.col("_n") * F.col("_s")).alias("gini"))
 
 
 def entropy(counts: DataFrame, keys: list[str], n: str, *, least: int = 1) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import vectors as V
+from trackloom.plans.joins import against
 from trackloom.plans.ordered import first_by, range_join, top_k
 
 
@@ -198,9 +199,9 @@ def digit_confusion(pairs: DataFrame, *, alpha: float = 1.0) -> DataFrame:
 def gallery_similarity(queries: DataFrame, gallery: DataFrame, *, k: int = 5) -> DataFrame:
     """(query, identity, similarity): mean of the k greatest cosines between a stated set of queries (query, qv) and each identity's vectors (identity, gv).
 
-    Queries are the small side and are joined to the whole gallery in one pass.
+    Queries are the small side; they meet the whole gallery in blocks.
     """
-    s = gallery.join(queries).withColumn("c", V.cosine("qv", "gv"))
+    s = against(queries, gallery).withColumn("c", V.cosine("qv", "gv"))
     top = s.groupBy("query", "identity").agg(F.slice(F.sort_array(F.collect_list("c"), asc=False), 1, k).alias("t"))
     return top.select("query", "identity", (V.total("t") / F.size("t")).alias("similarity"))
 

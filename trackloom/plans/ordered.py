@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.plans.joins import null_safe_join
+
 
 def first_by(df: DataFrame, keys: Sequence[str], *order: str | Column) -> DataFrame:
     """The first row of each key in a total order: the rank window keeps one row per key and partition before the shuffle."""
@@ -67,3 +69,23 @@ def range_join(points: DataFrame, spans: DataFrame, by: Sequence[str], point: st
 def cumulative(value: str | Column, keys: Sequence[str], *order: str | Column) -> Column:
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return F.sum(value).over(w)
+
+
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, Column], *ties: str, descending: bool = False, buckets: int = 128) -> DataFrame:
+    """Adds running sums in order within each key, inclusive, without giving a key to one task.
+
+    Sketched quantiles of the order column cut every key into buckets; sums run inside the buckets and the totals of
+    the buckets before are added, so a task holds a bucket.  Rows with a null order are dropped.
+    """
+    d = df.where(F.col(order).isNotNull())
+    cuts = d.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
+    b = F.size(F.filter(F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    d = d.withColumn("_b", -b if descending else b)
+    by = F.desc(order) if descending else F.col(order)
+    w = Window.partitionBy(*keys, "_b").orderBy(by, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({n: F.sum(c).over(w) for n, c in sums.items()} | {f"_{n}": c for n, c in sums.items()})
+    t = d.groupBy(*keys, "_b").agg(*(F.sum(f"_{n}").alias(f"_t{n}") for n in sums))
+    t = t.select(*keys, "_b", *(F.coalesce(F.sum(f"_t{n}").over(before), F.lit(0)).alias(f"_t{n}") for n in sums))
+    j = null_safe_join(d, t, [*keys, "_b"])
+    return j.withColumns({n: F.col(n) + F.col(f"_t{n}") for n in sums}).drop("_b", *(f"_{n}" for n in sums), *(f"_t{n}" for n in sums))

@@ -8,6 +8,7 @@ from trackloom.functions import vectors as V
 from trackloom.operators import association as A
 from trackloom.operators.intervals import merge_intervals
 from trackloom.plans.book import Book, r6
+from trackloom.plans.joins import against
 
 BOOK = Book()
 add = BOOK.add
@@ -50,13 +51,13 @@ add("greedy_merge", lambda t: A.greedy_merge(_frags(t), _sims(t), threshold=0.1)
 add("split_tracks", lambda t: A.split_tracks(_vecs(t).select((F.col("track_id") % 10).alias("track_id"), (F.col("label") * 1000 + F.col("track_id")).alias("frame"), "vec"), eps=0.9))
 add("apply_splits", lambda t: A.apply_splits(t.pos.select("chunk", "track_id", "frame"), t.spark.sql("SELECT id AS track_id, p AS part, CASE p WHEN 0 THEN -1000000 ELSE 700 * p + 1 END AS lo, CASE p WHEN 2 THEN 1000000 ELSE 700 * (p + 1) END AS hi FROM range(1, 9), LATERAL explode(array(0L, 1L, 2L)) AS e(p)")), """
 SELECT chunk, track_id, frame, CASE WHEN track_id > 8 THEN 0 WHEN frame <= 700 THEN 0 WHEN frame <= 1400 THEN 1 ELSE 2 END AS part FROM pos""", "pos")
-_GT = """WITH gt AS (SELECT chunk, frame, track_id % 5 AS gt, pitch_x, pitch_y FROM pl WHERE track_id % 3 = 0), d AS (SELECT p.chunk, p.frame, p.track_id, g.gt, sqrt((p.pitch_x - g.pitch_x) ** 2 + (p.pitch_y - g.pitch_y) ** 2) AS d FROM pl p JOIN gt g ON g.chunk = p.chunk AND g.frame = p.frame),
+_GT = """WITH gt AS (SELECT chunk, frame, track_id % 5 AS gt, pitch_x, pitch_y FROM pl WHERE team = 1), d AS (SELECT p.chunk, p.frame, p.track_id, g.gt, sqrt((p.pitch_x - g.pitch_x) ** 2 + (p.pitch_y - g.pitch_y) ** 2) AS d FROM pl p JOIN gt g ON g.chunk = p.chunk AND g.frame = p.frame),
 near AS (SELECT chunk, frame, track_id, gt FROM d WHERE d <= 15 QUALIFY row_number() OVER (PARTITION BY chunk, frame, track_id ORDER BY d, gt) = 1)
 """
 
 
 def _near(t):
-    return A.nearest_truth(t.players.select("chunk", "frame", "track_id", "pitch_x", "pitch_y"), t.players.where("track_id % 3 = 0").select("chunk", "frame", (F.col("track_id") % 5).alias("gt"), "pitch_x", "pitch_y"), tol=15.0)
+    return A.nearest_truth(t.players.select("chunk", "frame", "track_id", "pitch_x", "pitch_y"), t.players.where("team = 1").select("chunk", "frame", (F.col("track_id") % 5).alias("gt"), "pitch_x", "pitch_y"), tol=15.0)
 
 
 add("nearest_truth", _near, _GT + "SELECT * FROM near", "pl")
@@ -79,8 +80,8 @@ gal AS (SELECT query, identity, avg(c) AS similarity FROM (SELECT * FROM s QUALI
 
 
 def _gallery(t):
-    q = F.broadcast(_vecs(t).where("track_id % 100 = 0").select(F.col("track_id").alias("query"), F.col("vec").alias("qv")).limit(10_000))
-    s = _vecs(t).join(q, F.col("track_id") != F.col("query")).select("query", F.col("label").alias("identity"), V.cosine("qv", "vec").alias("c"))
+    q = _vecs(t).where("track_id % 100 = 0").select(F.col("track_id").alias("query"), F.col("vec").alias("qv"))
+    s = against(q, _vecs(t), F.col("track_id") != F.col("query")).select("query", F.col("label").alias("identity"), V.cosine("qv", "vec").alias("c"))
     top = s.groupBy("query", "identity").agg(F.slice(F.sort_array(F.collect_list("c"), asc=False), 1, 5).alias("t"))
     return top.select("query", "identity", (V.total("t") / F.size("t")).alias("similarity"))
 
@@ -90,10 +91,10 @@ add("choose_identity", lambda t: A.choose(_gallery(t), margin=0.02, least=0.1),
 , r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, identity) AS k FROM gal)
 SELECT a.query, a.identity FROM r a JOIN r b ON a.query = b.query AND a.k = 1 AND b.k = 2 WHERE a.similarity >= 0.1 AND a.similarity - b.similarity >= 0.02""")
 add("identity_posterior", lambda t: A.posterior(_gallery(t)).withColumn("p", r6("p")), _GAL + "SELECT query, identity, R6(exp(10 * similarity) / sum(exp(10 * similarity)) OVER (PARTITION BY query)) AS p FROM gal")
-add("exclusion_groups", lambda t: A.exclusion_groups(t.pos.where("track_id <= 6").select("chunk", "frame", "track_id")).withColumn("members", F.array_join(F.col("members").cast("array<string>"), ",")), """
-WITH s AS (SELECT DISTINCT chunk, m FROM (SELECT chunk, frame, list_sort(list(DISTINCT track_id)) AS m FROM pos WHERE track_id <= 6 GROUP BY ALL))
+add("exclusion_groups", lambda t: A.exclusion_groups(t.pos.where("role <> 'player'").select("chunk", "frame", "track_id")).withColumn("members", F.array_join(F.col("members").cast("array<string>"), ",")), """
+WITH s AS (SELECT DISTINCT chunk, m FROM (SELECT chunk, frame, list_sort(list(DISTINCT track_id)) AS m FROM pos WHERE role <> 'player' GROUP BY ALL))
 SELECT chunk, array_to_string(m, ',') AS members FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.chunk = s.chunk AND len(o.m) > len(s.m) AND list_has_all(o.m, s.m))""", "pos")
-add("assign_roster", lambda t: A.assign(t.players.where("track_id <= 12").groupBy("chunk", F.col("track_id").alias("a")).agg(F.avg("pitch_x").alias("m")).select("chunk", "a", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(14).cast("long"))).alias("b"), "m").select("chunk", "a", "b", F.abs(F.col("m") - (45 + F.col("b"))).alias("cost")), ["chunk"]))
+add("assign_roster", lambda t: A.assign(t.players.groupBy("chunk", F.col("track_id").alias("a")).agg(F.avg("pitch_x").alias("m")).select("chunk", "a", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(30).cast("long"))).alias("b"), "m").select("chunk", "a", "b", F.abs(F.col("m") - (45 + F.col("b"))).alias("cost")), ["chunk"]))
 add("resolve_names", lambda t: A.resolve_names(t.read("queue_items").where("length(trim(gt_number)) > 0").select("seq", "track_id", F.expr("try_cast(trim(gt_number) AS int)").alias("name"))), """
 SELECT seq, track_id, min(CAST(trim(gt_number) AS INT)) AS name, count(*) AS n FROM queue_items WHERE length(trim(gt_number)) > 0 GROUP BY ALL HAVING count(DISTINCT CAST(trim(gt_number) AS INT)) = 1""")
 add("propagate_numbers", lambda t: A.propagate(t.read("queue_items").select(F.concat("seq", F.lit("#"), (F.col("track_id") % 40).cast("string")).alias("grp"), "track_id", F.expr("try_cast(trim(gt_number) AS int)").alias("number")).distinct()), """
@@ -114,17 +115,17 @@ SELECT match_id, chunk, CAST(sum(n) AS BIGINT) AS covered FROM p GROUP BY ALL"""
 
 
 def _boxes(t, shift):
-    p = t.pos.where(f"track_id % 2 = {shift}").select("chunk", "frame", F.col("track_id").alias("i"), (F.col("image_x") - 60).alias("x0"), (F.col("image_y") - 120).alias("y0"), (F.col("image_x") + 60).alias("x1"), (F.col("image_y") + 120).alias("y1"))
+    p = t.pos.where(f"team = {shift}").select("chunk", "frame", F.col("track_id").alias("i"), (F.col("image_x") - 60).alias("x0"), (F.col("image_y") - 120).alias("y0"), (F.col("image_x") + 60).alias("x1"), (F.col("image_y") + 120).alias("y1"))
     return p
 
 
 add("iou_pairs", lambda t: A.iou_pairs(_boxes(t, 0), _boxes(t, 1), grow=0.5).withColumn("iou", r6("iou")), """
-WITH b AS (SELECT chunk, frame, track_id AS i, image_x - 90 AS x0, image_y - 180 AS y0, image_x + 90 AS x1, image_y + 180 AS y1 FROM pos),
-j AS (SELECT a.chunk, a.frame, a.i AS ia, b.i AS ib, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS n FROM b a JOIN b ON a.chunk = b.chunk AND a.frame = b.frame AND a.i % 2 = 0 AND b.i % 2 = 1 AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)
+WITH b AS (SELECT chunk, frame, team, track_id AS i, image_x - 90 AS x0, image_y - 180 AS y0, image_x + 90 AS x1, image_y + 180 AS y1 FROM pos),
+j AS (SELECT a.chunk, a.frame, a.i AS ia, b.i AS ib, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS n FROM b a JOIN b ON a.chunk = b.chunk AND a.frame = b.frame AND a.team = 0 AND b.team = 1 AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)
 SELECT chunk, frame, ia, ib, R6(n / (2.0::DOUBLE * 180 * 360 - n)) AS iou FROM j""", "pos")
-add("detection_scores", lambda t: A.detection_scores(t.ball.where("frame % 15 <> 0"), t.ball.where("frame % 20 <> 0").withColumn("x", F.col("x") + F.col("frame") % 7), tol=3.0), """
-WITH g AS (SELECT chunk, frame, x, y FROM ball WHERE frame % 15 <> 0), d AS (SELECT chunk, frame, x + frame % 7 AS x, y FROM ball WHERE frame % 20 <> 0),
-j AS (SELECT g.x AS gx, d.x AS dx, coalesce(sqrt((g.x - d.x) ** 2 + (g.y - d.y) ** 2) <= 3, false) AS near FROM g FULL JOIN d ON g.chunk = d.chunk AND g.frame = d.frame)
-SELECT count(*) FILTER (near) AS hits, count(*) FILTER (gx IS NOT NULL AND NOT near) AS missed, count(*) FILTER (dx IS NOT NULL AND NOT near) AS false_alarms FROM j""", "ball")
+add("detection_scores", lambda t: A.detection_scores(t.ball, t.pos.where("role = 'ball' AND pitch_x IS NOT NULL").select("chunk", "frame", F.col("pitch_x").alias("x"), F.col("pitch_y").alias("y")), tol=30.0), """
+WITH g AS (SELECT chunk, frame, x, y FROM ball), d AS (SELECT chunk, frame, pitch_x AS x, pitch_y AS y FROM pos WHERE role = 'ball' AND pitch_x IS NOT NULL),
+j AS (SELECT g.x AS gx, d.x AS dx, coalesce(sqrt((g.x - d.x) ** 2 + (g.y - d.y) ** 2) <= 30, false) AS near FROM g FULL JOIN d ON g.chunk = d.chunk AND g.frame = d.frame)
+SELECT count(*) FILTER (near) AS hits, count(*) FILTER (gx IS NOT NULL AND NOT near) AS missed, count(*) FILTER (dx IS NOT NULL AND NOT near) AS false_alarms FROM j""", "ball", "pos")
 
 QUERIES, SQL = BOOK.queries, BOOK.sql

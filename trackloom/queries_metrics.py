@@ -233,7 +233,7 @@ add("block_spells", lambda t: M.block_spells(M.block_frames(t.ball, t.poss, t.po
 SELECT chunk, def_team, min(frame) AS f0, max(frame) AS f1, count(*) AS n_frames, count(line_m) AS n_usable, R6(median(line_m)) AS median_line_m, CASE WHEN median(line_m) < 33 THEN 'low' WHEN median(line_m) >= 50 THEN 'high' ELSE 'mid' END AS block_class FROM r GROUP BY chunk, run, def_team HAVING count(line_m) >= 3""", "poss", "dirs")
 
 _PTS = "SELECT chunk % 25 AS match, CASE WHEN frame % 86400 < 43200 THEN 'h1' ELSE 'h2' END AS half, CAST(frame % 43200 AS DOUBLE) / 8 AS t_s, event_id FROM {s}"
-_GOALS = "SELECT chunk % 25 AS match, CASE WHEN frame % 86400 < 43200 THEN 'h1' ELSE 'h2' END AS half, CAST(frame % 43200 AS DOUBLE) / 8 AS t_s, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS ours FROM {s} WHERE event_type = 'purchase' AND event_id % 40 = 3 OR event_type = 'view' AND event_id % 50 = 4"
+_GOALS = "SELECT chunk % 25 AS match, CASE WHEN frame % 86400 < 43200 THEN 'h1' ELSE 'h2' END AS half, CAST(frame % 43200 AS DOUBLE) / 8 AS t_s, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS ours FROM {s} WHERE event_type IN ('purchase', 'view') AND value > 120"
 
 
 def _goals(t):

@@ -63,11 +63,11 @@ add("pair_share", lambda t: R.pair_share(O.passes(t.poss, t.players).groupBy("ch
 
 
 def _ledger(t):
-    e = t.ball.where("frame % 35 = 0").select((F.col("chunk") * 100000 + F.col("frame")).alias("event_id"), "chunk", (F.col("frame") + 2).alias("frame"))
+    e = t.ball.select((F.col("chunk") * 100000 + F.col("frame")).alias("event_id"), "chunk", (F.col("frame") + 2).alias("frame"))
     return R.ledger(e, t.poss, most_m=9.0)
 
 
-_LED = """WITH ev AS (SELECT chunk * 100000 + frame AS event_id, chunk, frame + 2 AS frame, frame AS g FROM ball WHERE frame % 35 = 0), c AS (SELECT ev.*, p.frame AS at_, p.team, p.carrier, p.dist_m FROM ev LEFT JOIN poss p ON p.chunk = ev.chunk AND p.frame IN (g - 15, g - 10, g - 5, g, g + 5) AND p.dist_m <= 9),
+_LED = """WITH ev AS (SELECT chunk * 100000 + frame AS event_id, chunk, frame + 2 AS frame, frame AS g FROM ball), c AS (SELECT ev.*, p.frame AS at_, p.team, p.carrier, p.dist_m FROM ev LEFT JOIN poss p ON p.chunk = ev.chunk AND p.frame IN (g - 15, g - 10, g - 5, g, g + 5) AND p.dist_m <= 9),
 le AS (SELECT event_id, chunk, frame, at_ AS "at", team, carrier FROM c QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY dist_m NULLS LAST, at_) = 1)"""
 add("event_ledger", _ledger, _LED + " SELECT * FROM le", "poss")
 add("ledger_gate", lambda t: R.gate_counts(_ledger(t).withColumn("half", F.when(F.col("chunk") < 4, "h1").otherwise("h2"))), _LED + " SELECT coalesce(half, 'match') AS half, count(*) AS events, count(team) AS named FROM (SELECT *, CASE WHEN chunk < 4 THEN 'h1' ELSE 'h2' END AS half FROM le) GROUP BY ROLLUP (half)", "poss")
@@ -102,7 +102,7 @@ def _hs(t):
 
 
 add("frame_homographies", lambda t: _hs(t))
-add("calibration_gaps_filled", lambda t: G.projected(t.pos, G.carried(t.pos, _hs(t).where("frame % 3 = 0"), most=15)).select("chunk", "frame", "track_id", "pitch_x", "pitch_y"))
+add("calibration_gaps_filled", lambda t: G.projected(t.pos, G.carried(t.pos, G.frame_homographies(t.pos, least=12), most=15)).select("chunk", "frame", "track_id", "pitch_x", "pitch_y"))
 add("reprojection_error", lambda t: G.reprojection_error(t.pos, _hs(t)))
 add("smoothed_ball", lambda t: G.smoothed(t.ball, "chunk", "frame", "x"))
 add("pitch_model_points", lambda t: G.model_points(t.read("nation").select(F.col("n_name").alias("segment"), F.lit(0.0).alias("x0"), F.col("n_nationkey").cast("double").alias("y0"), (F.col("n_nationkey") * 2.5).alias("x1"), F.col("n_nationkey").cast("double").alias("y1")), step=2.0).withColumns({c: r6(c) for c in ("x", "y")}), """
@@ -114,8 +114,8 @@ add("ball_channels", lambda t: K.ball_channels(t.ball, t.poss, t.dirs).groupBy("
 add("progression", lambda t: K.progression(K.ball_channels(t.ball, t.poss, t.dirs), gap=60, step_m=80.0).withColumn("forward_m", r6("forward_m")), _CH + """
 , f AS (SELECT *, lead(frame) OVER w AS f1, lead(team) OVER w AS t1, lead(ax) OVER w AS a1, lead(ay) OVER w AS y1 FROM cz WINDOW w AS (PARTITION BY chunk ORDER BY frame)), o AS (SELECT *, coalesce(t1 = team AND f1 - frame <= 60 AND sqrt((a1 - ax) ** 2 + (y1 - ay) ** 2) <= 80, false) AS ok FROM f)
 SELECT team, channel, count(*) AS samples, R6(sum(CASE WHEN ok THEN greatest(a1 - ax, 0) ELSE 0 END)) AS forward_m, count(*) FILTER (ok AND ax < 70 AND a1 >= 70) AS entries FROM o GROUP BY ALL""", "poss", "dirs")
-add("coverage_profile", lambda t: K.coverage_profile(t.players.where("track_id % 2 = 0").select("chunk", "frame"), t.players.where("track_id % 5 = 1").select("chunk", "frame"), ["chunk", "frame"]), """
-WITH a AS (SELECT chunk, frame, count(*) AS observed FROM pl WHERE track_id % 2 = 0 GROUP BY ALL), b AS (SELECT chunk, frame, count(*) AS estimated FROM pl WHERE track_id % 5 = 1 GROUP BY ALL)
+add("coverage_profile", lambda t: K.coverage_profile(t.players.where("role = 'player'").select("chunk", "frame"), t.pos.where("pitch_x IS NULL").select("chunk", "frame"), ["chunk", "frame"]), """
+WITH a AS (SELECT chunk, frame, count(*) AS observed FROM pl WHERE role = 'player' GROUP BY ALL), b AS (SELECT chunk, frame, count(*) AS estimated FROM pos WHERE pitch_x IS NULL GROUP BY ALL)
 SELECT coalesce(a.chunk, b.chunk) AS chunk, coalesce(a.frame, b.frame) AS frame, coalesce(observed, 0) AS observed, coalesce(estimated, 0) AS estimated FROM a FULL JOIN b ON a.chunk = b.chunk AND a.frame = b.frame""", "pl")
 add("sight_gaps", lambda t: K.sight_gaps(t.players, t.players.groupBy("chunk", "frame").agg(F.count("*").alias("n")), step=5, least=8), """
 WITH g AS (SELECT chunk, track_id, frame + 5 AS f0, lead(frame) OVER (PARTITION BY chunk, track_id ORDER BY frame) - 5 AS f1 FROM pl), n AS (SELECT chunk, frame, count(*) AS n FROM pl GROUP BY ALL)
@@ -132,13 +132,13 @@ add("holding_time", lambda t: K.holding_time(t.poss), """
 WITH p AS (SELECT team, lead(frame) OVER w - frame AS d, lead(team) OVER w AS n FROM poss WINDOW w AS (PARTITION BY chunk ORDER BY frame)), s AS (SELECT team, CASE WHEN n = team THEN d ELSE d / 2.0 END AS d FROM p WHERE d IS NOT NULL UNION ALL SELECT n, d / 2.0 FROM p WHERE n <> team)
 SELECT team, CAST(sum(d) AS DOUBLE) AS frames FROM s GROUP BY team""", "poss")
 add("dominant_share", lambda t: K.dominant_share(t.poss.groupBy("carrier", "chunk").agg(F.count("*").alias("n")), "carrier", "n").withColumns({c: r6(c) for c in ("share", "herfindahl")}), "WITH g AS (SELECT carrier, chunk, count(*) AS n FROM poss GROUP BY ALL), p AS (SELECT carrier, n / sum(n) OVER (PARTITION BY carrier) AS p FROM g) SELECT carrier, R6(max(p)) AS share, R6(sum(p * p)) AS herfindahl FROM p GROUP BY carrier", "poss")
-add("territory", lambda t: K.territory(t.players.where("track_id < 20 OR chunk < 4").select(F.col("track_id").alias("player"), F.when(F.col("chunk") < 4, 1).otherwise(2).alias("half"), F.col("pitch_x").alias("x"), F.col("pitch_y").alias("y"))).withColumns({c: r6(c) for c in ("mx", "my", "sx", "sy")}), """
-WITH a AS (SELECT track_id AS player, CASE WHEN chunk < 4 THEN 1 ELSE 2 END AS half, pitch_x AS x, pitch_y AS y FROM pl WHERE track_id < 20 OR chunk < 4), g AS (SELECT player, half, avg(x) AS mx, avg(y) AS my, greatest(stddev_pop(x), 3) AS sx, greatest(stddev_pop(y), 3) AS sy FROM a GROUP BY ALL),
+add("territory", lambda t: K.territory(t.players.where("role = 'player' OR chunk < 4").select(F.col("track_id").alias("player"), F.when(F.col("chunk") < 4, 1).otherwise(2).alias("half"), F.col("pitch_x").alias("x"), F.col("pitch_y").alias("y"))).withColumns({c: r6(c) for c in ("mx", "my", "sx", "sy")}), """
+WITH a AS (SELECT track_id AS player, CASE WHEN chunk < 4 THEN 1 ELSE 2 END AS half, pitch_x AS x, pitch_y AS y FROM pl WHERE role = 'player' OR chunk < 4), g AS (SELECT player, half, avg(x) AS mx, avg(y) AS my, greatest(stddev_pop(x), 3) AS sx, greatest(stddev_pop(y), 3) AS sy FROM a GROUP BY ALL),
 b AS (SELECT DISTINCT g.player, h.half FROM g, (VALUES (1), (2)) h(half))
 SELECT b.player, b.half, R6(coalesce(g.mx, 105 - o.mx)) AS mx, R6(coalesce(g.my, 68 - o.my)) AS my, R6(coalesce(g.sx, o.sx)) AS sx, R6(coalesce(g.sy, o.sy)) AS sy FROM b LEFT JOIN g ON g.player = b.player AND g.half = b.half LEFT JOIN g o ON o.player = b.player AND o.half = 3 - b.half""", "pl")
-add("anchor_flags", lambda t: K.reachable_anchor_flags(t.ball.where("frame % 10 = 0").select((F.col("chunk") * 100000 + F.col("frame")).alias("event_id"), "chunk", "frame", "x", "y", (F.col("frame") % 14 + 1).alias("player")), t.players.where("frame % 20 = 0").select("chunk", "frame", F.col("track_id").alias("player"), F.col("pitch_x").alias("x"), F.col("pitch_y").alias("y"))), """
-WITH c AS (SELECT chunk * 100000 + frame AS event_id, chunk, frame, x, y, frame % 14 + 1 AS player FROM ball WHERE frame % 10 = 0)
-SELECT event_id, c.player, coalesce(bool_or(a.frame = c.frame OR sqrt((c.x - a.pitch_x) ** 2 + (c.y - a.pitch_y) ** 2) > 9 * abs(a.frame - c.frame) / 25.0 + 2), false) AS excluded FROM c LEFT JOIN pl a ON a.chunk = c.chunk AND a.track_id = c.player AND a.frame % 20 = 0 AND a.frame BETWEEN c.frame - 125 AND c.frame + 125 GROUP BY ALL""", "ball", "pl")
+add("anchor_flags", lambda t: K.reachable_anchor_flags(t.ball.select((F.col("chunk") * 100000 + F.col("frame")).alias("event_id"), "chunk", "frame", "x", "y", (F.col("frame") % 14 + 1).alias("player")), t.players.select("chunk", "frame", F.col("track_id").alias("player"), F.col("pitch_x").alias("x"), F.col("pitch_y").alias("y"))), """
+WITH c AS (SELECT chunk * 100000 + frame AS event_id, chunk, frame, x, y, frame % 14 + 1 AS player FROM ball)
+SELECT event_id, c.player, coalesce(bool_or(a.frame = c.frame OR sqrt((c.x - a.pitch_x) ** 2 + (c.y - a.pitch_y) ** 2) > 9 * abs(a.frame - c.frame) / 25.0 + 2), false) AS excluded FROM c LEFT JOIN pl a ON a.chunk = c.chunk AND a.track_id = c.player AND a.frame BETWEEN c.frame - 125 AND c.frame + 125 GROUP BY ALL""", "ball", "pl")
 
 
 def _states(t):

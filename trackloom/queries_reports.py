@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackloom.functions import vectors as V
 from trackloom.operators import metrics as M
 from trackloom.operators import possession as O
+from trackloom.operators import profiles as R
 from trackloom.operators import reports as Q
 from trackloom.operators import shape as S
 from trackloom.operators import tracks as T
 from trackloom.plans.book import Book, r6
+from trackloom.plans.joins import against
 
 BOOK = Book()
 add = BOOK.add
@@ -18,7 +19,7 @@ add = BOOK.add
 
 def _claims(t):
     p = t.read("part")
-    return p.select(F.col("p_partkey").alias("id"), F.array(F.col("p_type"), F.col("p_brand")).alias("tags"), F.when(F.col("p_partkey") % 4 < 3, "confirmed").otherwise("open").alias("status"), F.lit("m").alias("unit"), (F.col("p_size") * 1.0).alias("value"), F.array((F.col("p_partkey") + 1)).alias("links"), F.col("p_name").alias("statement"), F.array(F.concat(F.lit("f"), (F.col("p_partkey") % 50).cast("string"), F.lit("#x"))).alias("evidence")).where("id < 2000000")
+    return p.select(F.col("p_partkey").alias("id"), F.array(F.col("p_type"), F.col("p_brand")).alias("tags"), F.when(F.col("p_partkey") % 4 < 3, "confirmed").otherwise("open").alias("status"), F.lit("m").alias("unit"), (F.col("p_size") * 1.0).alias("value"), F.array((F.col("p_partkey") + 1)).alias("links"), F.col("p_name").alias("statement"), F.array(F.concat(F.lit("f"), (F.col("p_partkey") % 50).cast("string"), F.lit("#x"))).alias("evidence"))
 
 
 _CL = "WITH c AS (SELECT p_partkey AS id, p_type AS t1, p_brand AS t2, p_partkey % 4 < 3 AS ok, p_size * 1.0::DOUBLE AS v, p_name AS s, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[\\s.,():\\-]+'), lambda w: length(w) > 3)) AS w FROM part)"
@@ -33,14 +34,15 @@ WITH g AS (SELECT team, floor(pitch_x / 15) AS cell, count(*) AS n FROM pl GROUP
 
 
 def _dist(t):
-    v = t.read("embeddings").where("vec_id < 150").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
-    a, b = v.select(F.col("id").alias("a"), F.col("v").alias("va")), v.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    return a.join(F.broadcast(b.limit(150)), F.col("a") != F.col("b")).select("a", "b", F.round(1 - V.cosine("va", "vb"), 9).alias("d")), v.select("id", "label")
+    """Chunk sides by the difference of their mean shapes; there are two to a chunk."""
+    f = R.tendencies(S.frame_shapes(t.pos).select("chunk", "frame", "team", "width", "length"), ["width", "length"]).select((F.col("chunk") * 2 + F.col("team")).alias("id"), F.col("team").alias("label"), "width", "length")
+    a, b = (f.select(F.col("id").alias(s), F.col("width").alias(f"w{s}"), F.col("length").alias(f"l{s}")) for s in ("a", "b"))
+    return against(b, a, F.col("a") != F.col("b")).select("a", "b", F.round(F.abs(F.col("wa") - F.col("wb")) + F.abs(F.col("la") - F.col("lb")), 9).alias("d")), f.select("id", "label")
 
 
 add("nearest_label_accuracy", lambda t: Q.nearest_label_accuracy(*_dist(t)).withColumn("accuracy", r6("accuracy")), """
-WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 150), d AS (SELECT a.label AS la, b.label AS lb, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - list_cosine_similarity(a.v, b.v), 9), b.id) AS k FROM v a JOIN v b ON a.id <> b.id)
-SELECT count(*) AS n, R6(avg((la = lb)::INT)) AS accuracy FROM d WHERE k = 1""")
+WITH s AS (SELECT chunk, frame, team, max(pitch_y) - min(pitch_y) AS width, max(pitch_x) - min(pitch_x) AS length FROM pl GROUP BY ALL HAVING count(*) >= 4), v AS (SELECT chunk * 2 + team AS id, team AS label, avg(width) AS w, avg(length) AS l FROM s GROUP BY ALL HAVING count(*) >= 20),
+d AS (SELECT a.label AS la, b.label AS lb, row_number() OVER (PARTITION BY a.id ORDER BY round(abs(a.w - b.w) + abs(a.l - b.l), 9), b.id) AS k FROM v a JOIN v b ON a.id <> b.id) SELECT count(*) AS n, R6(avg((la = lb)::INT)) AS accuracy FROM d WHERE k = 1""", "pl")
 add("press_after_loss", lambda t: Q.press_after_loss(O.turnovers(t.poss, t.ball), t.ball, t.players, t.poss, t.dirs, window=60), """
 WITH l AS (SELECT t.* FROM turn t JOIN dirs d ON d.chunk = t.chunk AND d.team = t.lost_team WHERE CASE WHEN dir > 0 THEN t.x ELSE 105 - t.x END >= 35)
 SELECT chunk, frame, lost_team, EXISTS (SELECT 1 FROM ball b JOIN pl p ON p.chunk = b.chunk AND p.frame = b.frame WHERE b.chunk = l.chunk AND b.frame > l.frame AND b.frame <= l.frame + 60 AND p.team = l.lost_team AND sqrt((p.pitch_x - b.x) ** 2 + (p.pitch_y - b.y) ** 2) <= 4.57) AS pressed,
@@ -61,8 +63,8 @@ add("role_centres", lambda t: Q.role_centres(t.players, _slots(t)).withColumns({
 add("relabelled_roles", lambda t: Q.relabelled(t.players, Q.role_centres(t.players, _slots(t))), _RC + """
 , m AS (SELECT chunk, team, track_id, avg(pitch_x) AS mx, avg(pitch_y) AS my FROM pl GROUP BY ALL)
 SELECT m.chunk, track_id, slot FROM m JOIN rc ON rc.chunk = m.chunk AND rc.team = m.team QUALIFY row_number() OVER (PARTITION BY m.chunk, track_id ORDER BY sqrt((cx - mx) ** 2 + (cy - my) ** 2), slot) = 1""", "pl")
-add("reconstructed_line", lambda t: Q.reconstructed_line(t.pos, t.dirs, t.pos.where("track_id % 4 = 2 AND role = 'player'").select("chunk", "track_id").distinct()).withColumn("line", r6("line")), """
-WITH t AS (SELECT pl.chunk, pl.frame, track_id, pl.team, CASE WHEN dir > 0 THEN pitch_x ELSE 105 - pitch_x END AS ax FROM pl JOIN dirs d ON d.chunk = pl.chunk AND d.team = pl.team WHERE track_id % 4 = 2 AND role = 'player'), k AS (SELECT DISTINCT chunk, track_id, team FROM t),
+add("reconstructed_line", lambda t: Q.reconstructed_line(t.pos, t.dirs, t.pos.where("role = 'player'").select("chunk", "track_id").distinct()).withColumn("line", r6("line")), """
+WITH t AS (SELECT pl.chunk, pl.frame, track_id, pl.team, CASE WHEN dir > 0 THEN pitch_x ELSE 105 - pitch_x END AS ax FROM pl JOIN dirs d ON d.chunk = pl.chunk AND d.team = pl.team WHERE role = 'player'), k AS (SELECT DISTINCT chunk, track_id, team FROM t),
 g AS (SELECT f.chunk, f.frame, k.track_id, k.team, t.ax FROM (SELECT DISTINCT chunk, frame FROM pos) f JOIN k ON k.chunk = f.chunk LEFT JOIN t ON t.chunk = f.chunk AND t.frame = f.frame AND t.track_id = k.track_id),
 b AS (SELECT *, last_value(CASE WHEN ax IS NOT NULL THEN frame END IGNORE NULLS) OVER p AS f0, last_value(ax IGNORE NULLS) OVER p AS a0, first_value(CASE WHEN ax IS NOT NULL THEN frame END IGNORE NULLS) OVER n AS f1, first_value(ax IGNORE NULLS) OVER n AS a1 FROM g
   WINDOW p AS (PARTITION BY chunk, track_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY chunk, track_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))

@@ -16,7 +16,7 @@ add("attack_directions", lambda t: t.dirs.withColumn("dir", F.col("dir").cast("i
 add("directions_from_ball", lambda t: S.directions_from_ball(t.pos, t.ball, 12.0), """
 WITH m AS (SELECT p.chunk, p.team, avg(b.x) AS m FROM poss p JOIN ball b ON p.chunk = b.chunk AND p.frame = b.frame GROUP BY p.chunk, p.team)
 SELECT chunk, team, CASE WHEN row_number() OVER (PARTITION BY chunk ORDER BY m DESC, team) = 1 THEN 1 ELSE -1 END AS dir FROM m QUALIFY count(*) OVER (PARTITION BY chunk) = 2""", "poss")
-add("complete_directions", lambda t: S.complete_directions(t.dirs.where("chunk % 2 = 0 OR team = 0"), t.players), "SELECT chunk, team, CASE WHEN chunk % 2 = 0 OR team = 0 THEN dir ELSE -(SELECT dir FROM dirs d WHERE d.chunk = dirs.chunk AND d.team = 0) END AS dir FROM dirs", "dirs")
+add("complete_directions", lambda t: S.complete_directions(t.dirs.where("team = 0"), t.players), "SELECT chunk, team, CASE WHEN team = 0 THEN dir ELSE -(SELECT dir FROM dirs d WHERE d.chunk = dirs.chunk AND d.team = 0) END AS dir FROM dirs", "dirs")
 
 _SHAPE = """
 WITH c AS (SELECT *, avg(pitch_x) OVER w AS mx, avg(pitch_y) OVER w AS my FROM pl WINDOW w AS (PARTITION BY chunk, frame, team)),

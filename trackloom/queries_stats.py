@@ -12,6 +12,7 @@ from trackloom.operators import possession as O
 from trackloom.operators import shape as S
 from trackloom.operators import tracks as T
 from trackloom.plans.book import Book, r6
+from trackloom.plans.joins import against
 
 BOOK = Book()
 add = BOOK.add
@@ -156,15 +157,15 @@ add("conformal_radius", lambda t: X.conformal_radius(_orders(t), ["o_orderstatus
 , r AS (SELECT o_orderstatus, p, row_number() OVER (PARTITION BY o_orderstatus ORDER BY p) AS r, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM o) SELECT o_orderstatus, R6(min(p) FILTER (r = ceil((n + 1) * 0.9::DOUBLE))) AS k FROM r GROUP BY ALL""")
 add("risk_coverage", lambda t: X.risk_coverage(_orders(t).withColumn("err", F.abs(F.col("p") - F.col("y").cast("double"))), ["o_orderstatus"], "err", "p", "o_orderkey").withColumns({c: r6(c) for c in ("aurc", "augrc")}), _OR + """
 , d AS (SELECT o_orderstatus, sum(abs(p - y::INT)) OVER w AS s, count(*) OVER w AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM o WINDOW w AS (PARTITION BY o_orderstatus ORDER BY p, o_orderkey ROWS UNBOUNDED PRECEDING)) SELECT o_orderstatus, R6(avg(s / k)) AS aurc, R6(avg(s / n)) AS augrc FROM d GROUP BY ALL""")
-_FRN = _OR + ", fn AS (SELECT count(*) OVER w AS k, p AS threshold, count(*) OVER w / count(*) OVER () AS coverage, sum(y::INT) OVER w / count(*) OVER w AS precision FROM o WHERE o_custkey % 10 = 3 WINDOW w AS (ORDER BY p DESC, o_orderkey ROWS UNBOUNDED PRECEDING))"
+_FRN = _OR + ", fn AS (SELECT o_orderstatus, count(*) OVER w AS k, p AS threshold, count(*) OVER w / count(*) OVER (PARTITION BY o_orderstatus) AS coverage, sum(y::INT) OVER w / count(*) OVER w AS precision FROM o WINDOW w AS (PARTITION BY o_orderstatus ORDER BY p DESC, o_orderkey ROWS UNBOUNDED PRECEDING))"
 
 
 def _frontier(t):
-    return X.frontier(_orders(t).where("o_custkey % 10 = 3"), "p", "y", "o_orderkey")
+    return X.frontier(_orders(t), ["o_orderstatus"], "p", "y", "o_orderkey")
 
 
-add("frontier", lambda t: _frontier(t).withColumns({c: r6(c) for c in ("threshold", "coverage", "precision")}), _FRN + "SELECT k, R6(threshold) AS threshold, R6(coverage) AS coverage, R6(precision) AS precision FROM fn")
-add("coverage_at", lambda t: X.coverage_at(_frontier(t), 0.25).withColumn("coverage", r6("coverage")), _FRN + "SELECT R6(coalesce(max(coverage) FILTER (precision >= 0.25), 0)) AS coverage FROM fn")
+add("frontier", lambda t: _frontier(t).withColumns({c: r6(c) for c in ("threshold", "coverage", "precision")}), _FRN + "SELECT o_orderstatus, k, R6(threshold) AS threshold, R6(coverage) AS coverage, R6(precision) AS precision FROM fn")
+add("coverage_at", lambda t: X.coverage_at(_frontier(t), ["o_orderstatus"], 0.25).withColumn("coverage", r6("coverage")), _FRN + "SELECT o_orderstatus, R6(coalesce(max(coverage) FILTER (precision >= 0.25), 0)) AS coverage FROM fn GROUP BY o_orderstatus")
 add("mean_without_self", lambda t: X.mean_without_self(t.read("supplier"), ["s_nationkey"], "s_acctbal", "rest").select("s_suppkey", r6("rest").alias("rest")), "SELECT s_suppkey, R6((sum(s_acctbal) OVER w - s_acctbal) / nullif(count(*) OVER w - 1, 0)) AS rest FROM supplier WINDOW w AS (PARTITION BY s_nationkey)")
 add("line_without_group", lambda t: X.line_without_group(t.read("customer").withColumn("x", F.col("c_nationkey").cast("double") * 3 + F.col("c_custkey") % 7), "c_mktsegment", "x", "c_acctbal").withColumns({c: r6(c) for c in ("slope", "intercept")}), """
 SELECT s.c_mktsegment, R6(regr_slope(c.c_acctbal, c.c_nationkey * 3 + c.c_custkey % 7)) AS slope, R6(regr_intercept(c.c_acctbal, c.c_nationkey * 3 + c.c_custkey % 7)) AS intercept FROM (SELECT DISTINCT c_mktsegment FROM customer) s JOIN customer c ON c.c_mktsegment <> s.c_mktsegment GROUP BY ALL""")
@@ -205,7 +206,7 @@ add("audited_numbers", lambda t: W.audit(_audit(t), "doc_id"))
 add("gate_tiers", lambda t: t.read("part").select("p_partkey", W.gate(F.col("p_size") * 2.0, F.col("p_retailprice") / 20, F.when(F.col("p_partkey") % 5 == 0, None).otherwise(F.col("p_partkey") % 11 / 100)).alias("tier")), """
 SELECT p_partkey, CASE WHEN p_size * 2.0 >= 40 AND p_retailprice / 20 >= 50 THEN 'absolute' WHEN p_partkey % 5 <> 0 AND (p_partkey % 11)::DOUBLE / 100 <= 0.05 THEN 'comparative' ELSE 'abstain' END AS tier FROM part""")
 add("search_text", lambda t: t.read("documents").where(F.col("text").ilike("%calibration error%") & F.col("lang").isin("en", "EN")).select("doc_id"), "SELECT doc_id FROM documents WHERE text ILIKE '%calibration error%' AND lang IN ('en', 'EN')")
-add("name_match", lambda t: t.read("nation").join(F.broadcast(t.read("region").select("r_name").limit(1000)), W.name_match(F.col("n_name"), F.concat(F.lit("x "), F.col("r_name"), F.lit(" nation_1")))).select("n_name", "r_name"), "SELECT n_name, r_name FROM nation, region WHERE contains('x ' || lower(r_name) || ' nation_1', lower(n_name)) OR starts_with(lower(n_name), 'nation_1') OR starts_with(lower(r_name), lower(n_name)) OR starts_with(lower(n_name), lower(r_name))")
+add("name_match", lambda t: against(t.read("region").select("r_name"), t.read("nation"), W.name_match(F.col("n_name"), F.concat(F.lit("x "), F.col("r_name"), F.lit(" nation_1")))).select("n_name", "r_name"), "SELECT n_name, r_name FROM nation, region WHERE contains('x ' || lower(r_name) || ' nation_1', lower(n_name)) OR starts_with(lower(n_name), 'nation_1') OR starts_with(lower(r_name), lower(n_name)) OR starts_with(lower(n_name), lower(r_name))")
 add("registry", lambda t: t.read("frame_states").groupBy("match_id").agg(F.count_distinct("chunk").alias("chunks"), F.count("frame").alias("frames"), F.max("frame").alias("last_frame")), "SELECT match_id, count(DISTINCT chunk) AS chunks, count(frame) AS frames, max(frame) AS last_frame FROM frame_states GROUP BY match_id")
 add("not_yet_done", lambda t: t.read("frame_states").select("match_id", "chunk").distinct().join(t.read("ball_clicks").select("match_id", "chunk").distinct(), ["match_id", "chunk"], "left_anti"), "SELECT DISTINCT match_id, chunk FROM frame_states f WHERE NOT EXISTS (SELECT 1 FROM ball_clicks b WHERE b.match_id = f.match_id AND b.chunk = f.chunk)")
 add("latest_delivery", lambda t: t.read("carrier_labels").groupBy("label_id").agg(F.max("loaded_at").alias("loaded_at"), F.count("*").alias("deliveries")).select("label_id", "deliveries"), "SELECT label_id, count(*) AS deliveries FROM carrier_labels GROUP BY label_id")

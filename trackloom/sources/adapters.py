@@ -22,7 +22,7 @@ FROM (
 
 BALL = """SELECT CAST(f % 8 AS BIGINT) AS chunk, CAST((f - f % 8) / 8 * 5 AS BIGINT) AS frame,
   CAST(CAST(floor(min(o_totalprice) * 100) AS BIGINT) % 10501 AS DOUBLE) / 100 AS x, CAST(CAST(floor(max(o_totalprice) * 100) AS BIGINT) % 6801 AS DOUBLE) / 100 AS y
-FROM (SELECT *, CAST((o_orderkey - o_orderkey % 4) / 4 AS BIGINT) AS f FROM {orders}) a WHERE o_orderkey % 40 < 36
+FROM (SELECT *, CAST((o_orderkey - o_orderkey % 4) / 4 AS BIGINT) AS f FROM {orders}) a WHERE o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'P'
 GROUP BY CAST(f % 8 AS BIGINT), CAST((f - f % 8) / 8 * 5 AS BIGINT)"""
 
 STREAM = """SELECT user_id AS chunk, CAST(floor(epoch_s) AS BIGINT) AS frame, event_id, event_type, value, props,

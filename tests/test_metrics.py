@@ -146,6 +146,29 @@ def test_cheapest_path():
         assert tuple(O.cheapest_path(c, 1.5)) == want
 
 
+def test_smoothing_in_parts_equals_the_whole(spark):
+    rng = random.Random(11)
+    rows, balls = [], []
+    for f in range(0, 1500, 5):
+        balls.append((f, 50.0, 30.0))
+        rows += [(f, 2 * i + t, "player", t, 50.0 + rng.uniform(-6, 6), 30.0 + rng.uniform(-6, 6)) for t in (0, 1) for i in range(2)]
+    p, b = pos(spark, rows), ball(spark, balls)
+    get = lambda block: sorted(tuple(r) for r in O.smooth_possession(b, p, radius_m=9.0, block=block).collect())
+    whole = get(10**9)
+    assert len(whole) > 250 and get(100) == whole and get(15) == whole
+
+
+def test_linking_in_parts_equals_the_whole(spark):
+    rng = random.Random(12)
+    frames = sorted(f for f in rng.sample(range(0, 4000, 5), 300) if not 1000 < f < 1300)
+    rows = [(0, f, 50 + f / 100 + rng.uniform(-1, 1) + (40 if rng.random() < 0.1 else 0), 30 + rng.uniform(-1, 1), 1.0) for f in frames for _ in range(rng.choice((1, 1, 2)))]
+    df = spark.createDataFrame(rows, "chunk long, frame long, x double, y double, conf double")
+    got = sorted((r["frame"], round(r["x"], 9), r["observed"]) for r in T.link_ball(df, fps=25.0).collect())
+    rows.sort(key=lambda r: (r[1], r[2], r[3]))
+    want = T.link_points(*(np.array([r[i] for r in rows]) for i in (1, 2, 3)), fps=25.0, cap=40.0, max_gap=8)
+    assert got == sorted((f, round(x, 9), o) for f, x, _, o in want)
+
+
 def test_passes_and_turnovers(spark):
     p = pos(spark, [(0, 1, "player", 0, 10.0, 10.0), (10, 2, "player", 0, 30.0, 10.0), (200, 5, "player", 1, 40.0, 10.0)])
     poss = spark.createDataFrame([(0, 0, 1, 0, 0.1), (0, 10, 2, 0, 0.1), (0, 200, 5, 1, 0.1)], POSS)

@@ -46,26 +46,34 @@ def cheapest_path(cost: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
-def smooth_possession(ball: DataFrame, players: DataFrame, *, radius_m: float = 2.0, penalty_m: float = 1.5) -> DataFrame:
+def smooth_possession(ball: DataFrame, players: DataFrame, *, radius_m: float = 2.0, penalty_m: float = 1.5, block: int = 20_000) -> DataFrame:
     """Possession whose team sequence minimises the distances to each team's nearest player plus a cost per change.
 
     Frames count where the nearest player is within the radius; the carrier is the chosen team's nearest player, however far.
-    One chunk's frames (one row each) are one group.
+    Where one team is nearer by more than two changes cost, every cheapest path holds it, so a chunk is cut there, about
+    every ``block`` frames, and the parts are solved apart with the cut frame in both.
     """
     j = ball.join(players.where("team >= 0").select("chunk", "frame", F.col("track_id").alias("carrier"), "team", "pitch_x", "pitch_y"), ["chunk", "frame"])
     j = j.withColumn("d", P.distance("pitch_x", "pitch_y", "x", "y"))
     per = j.groupBy("chunk", "frame", "team").agg(F.min(F.struct("d", "carrier")).alias("m"))
     rows = per.groupBy("chunk", "frame").agg(*(F.first(F.when(F.col("team") == t, F.col("m")), ignorenulls=True).alias(f"m{t}") for t in (0, 1)))
     rows = rows.select("chunk", "frame", *(F.col(f"m{t}.{c}").alias(f"{c}{t}") for t in (0, 1) for c in ("d", "carrier"))).where(F.least("d0", "d1") <= radius_m)
+    sure = F.abs(F.coalesce("d0", F.lit(1e6)) - F.coalesce("d1", F.lit(1e6))) > 2 * penalty_m
+    rows = rows.withColumns({"_s": sure, "_b": F.expr(f"(frame - pmod(frame, {block}L)) div {block}L")})
+    first_sure = F.row_number().over(Window.partitionBy("chunk", "_b", "_s").orderBy("frame")) == 1
+    rows = rows.withColumn("_cut", F.col("_s") & first_sure)
+    rows = rows.withColumn("part", F.sum(F.col("_cut").cast("int")).over(Window.partitionBy("chunk").orderBy("frame")))
+    both = F.when(F.col("_cut"), F.array(F.col("part") - 1, F.col("part"))).otherwise(F.array("part"))
+    rows = rows.withColumn("_own", F.col("part")).withColumn("part", F.explode(both)).select("chunk", "frame", "part", "_own", "d0", "d1", "carrier0", "carrier1")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
         state = cheapest_path(pdf[["d0", "d1"]].fillna(1e6).to_numpy(), penalty_m)
         pick = lambda a, b: np.where(state == 0, pdf[a], pdf[b])
         out = pd.DataFrame({"chunk": pdf["chunk"], "frame": pdf["frame"], "carrier": pick("carrier0", "carrier1"), "team": state, "dist_m": pick("d0", "d1")})
-        return out.dropna(subset=["carrier"]).astype({"carrier": "int64", "team": "int32"})
+        return out[(pdf["_own"] == pdf["part"]).to_numpy()].dropna(subset=["carrier"]).astype({"carrier": "int64", "team": "int32"})
 
-    return rows.groupBy("chunk").applyInPandas(run, "chunk long, frame long, carrier long, team int, dist_m double")
+    return rows.groupBy("chunk", "part").applyInPandas(run, "chunk long, frame long, carrier long, team int, dist_m double")
 
 
 def passes(poss: DataFrame, players: DataFrame, *, max_gap: int = 22) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import pitch as P
 from trackloom.operators.shape import PLAYERS
+from trackloom.plans.joins import null_safe_join
 from trackloom.plans.ordered import asof
 
 KEY = ["chunk", "track_id"]
@@ -73,24 +74,22 @@ def synchrony(tracks: DataFrame, *, slow: float = 0.5, least: int = 3) -> DataFr
     return m.groupBy("chunk", "team").agg(F.avg("r").alias("r")).groupBy("team").agg(F.avg("r").alias("synchrony"))
 
 
-def link_points(frames: np.ndarray, xs: np.ndarray, ys: np.ndarray, *, fps: float, cap: float, max_gap: int) -> list[tuple[int, float, float, bool]]:
+def link_points(frames: np.ndarray, xs: np.ndarray, ys: np.ndarray, *, fps: float, cap: float, max_gap: int, step: int | None = None) -> list[tuple[int, float, float, bool]]:
     """One path through candidates sorted by frame: each frame's candidate nearest the constant-velocity forecast, if reachable.
 
     After more than ``max_gap`` steps without one it starts anew at the first candidate; shorter holes are filled linearly.
     """
     marks = np.unique(frames)
-    step = int(np.median(np.diff(marks))) if len(marks) > 1 else 1
-    step = step or 1
+    if step is None:
+        step = (int(np.median(np.diff(marks))) if len(marks) > 1 else 1) or 1
     path: list[tuple[int, float, float]] = []
     velocity = np.zeros(2)
-    fresh = True
     for f in marks:
-        own = np.flatnonzero(frames == f) if len(frames) < 64 else np.arange(np.searchsorted(frames, f, "left"), np.searchsorted(frames, f, "right"))
+        own = slice(np.searchsorted(frames, f, "left"), np.searchsorted(frames, f, "right"))
         here = np.column_stack([xs[own], ys[own]])
-        lost = not path or f - path[-1][0] > max_gap * step
-        if lost:
+        if not path or f - path[-1][0] > max_gap * step:
             path.append((int(f), *here[0]))
-            velocity, fresh = np.zeros(2), True
+            velocity = np.zeros(2)
             continue
         dt = (f - path[-1][0]) / fps
         was = np.array(path[-1][1:])
@@ -103,7 +102,6 @@ def link_points(frames: np.ndarray, xs: np.ndarray, ys: np.ndarray, *, fps: floa
         if speed > cap:
             velocity *= cap / speed
         path.append((int(f), *here[best]))
-        fresh = False
     out: list[tuple[int, float, float, bool]] = []
     for i, (f, x, y) in enumerate(path):
         if i:
@@ -116,16 +114,26 @@ def link_points(frames: np.ndarray, xs: np.ndarray, ys: np.ndarray, *, fps: floa
 
 
 def link_ball(detections: DataFrame, *, fps: float = 50.0, cap: float = 40.0, max_gap: int = 8) -> DataFrame:
-    """(chunk, frame, x, y, observed) from candidates (chunk, frame, x, y, conf); a frame's candidates are taken by falling conf, then x, y."""
+    """(chunk, frame, x, y, observed) from candidates (chunk, frame, x, y, conf); a frame's candidates are taken by falling conf, then x, y.
+
+    The path starts anew after any hole of more than ``max_gap`` steps, so a chunk is cut at the holes between its frames
+    and each stretch is linked on its own.
+    """
+    d = detections.select("chunk", "frame", "x", "y", "conf").where("frame IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    w = Window.partitionBy("chunk").orderBy("frame")
+    f = d.select("chunk", "frame").distinct().withColumn("gap", F.col("frame") - F.lag("frame").over(w))
+    step = f.groupBy("chunk").agg(F.greatest(F.floor(F.coalesce(F.percentile("gap", 0.5), F.lit(1.0))).cast("long"), F.lit(1)).alias("step"))
+    f = null_safe_join(f, step, ["chunk"]).withColumn("part", F.sum((F.coalesce("gap", F.lit(0)) > max_gap * F.col("step")).cast("int")).over(w)).drop("gap")
+    d = null_safe_join(d, f, ["chunk", "frame"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["frame", "x", "y"]).sort_values(["frame", "conf", "x", "y"], ascending=[True, False, True, True])
-        rows = link_points(pdf["frame"].to_numpy(), pdf["x"].to_numpy(), pdf["y"].to_numpy(), fps=fps, cap=cap, max_gap=max_gap) if len(pdf) else []
+        pdf = pdf.sort_values(["frame", "conf", "x", "y"], ascending=[True, False, True, True])
+        rows = link_points(pdf["frame"].to_numpy(), pdf["x"].to_numpy(), pdf["y"].to_numpy(), fps=fps, cap=cap, max_gap=max_gap, step=int(pdf["step"].iloc[0]))
         out = pd.DataFrame(rows, columns=["frame", "x", "y", "observed"])
-        out.insert(0, "chunk", pdf["chunk"].iloc[0] if len(pdf) else None)
+        out.insert(0, "chunk", pdf["chunk"].iloc[0])
         return out
 
-    return detections.select("chunk", "frame", "x", "y", "conf").groupBy("chunk").applyInPandas(run, "chunk long, frame long, x double, y double, observed boolean")
+    return d.groupBy("chunk", "part").applyInPandas(run, "chunk long, frame long, x double, y double, observed boolean")
 
 
 def fill_gaps(path: DataFrame, *, step: int, max_gap: int) -> DataFrame:

@@ -50,7 +50,7 @@ SELECT seq, a, b, R6(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(
 add("greedy_merge", lambda t: A.greedy_merge(_frags(t), _sims(t), threshold=0.1))
 add("split_tracks", lambda t: A.split_tracks(_vecs(t).select((F.col("track_id") % 10).alias("track_id"), (F.col("label") * 1000 + F.col("track_id")).alias("frame"), "vec"), eps=0.9))
 add("apply_splits", lambda t: A.apply_splits(t.pos.select("chunk", "track_id", "frame"), t.spark.sql("SELECT id AS track_id, p AS part, CASE p WHEN 0 THEN -1000000 ELSE 700 * p + 1 END AS lo, CASE p WHEN 2 THEN 1000000 ELSE 700 * (p + 1) END AS hi FROM range(1, 9), LATERAL explode(array(0L, 1L, 2L)) AS e(p)")), """
-SELECT chunk, track_id, frame, CASE WHEN track_id > 8 THEN 0 WHEN frame <= 700 THEN 0 WHEN frame <= 1400 THEN 1 ELSE 2 END AS part FROM pos""", "pos")
+SELECT chunk, track_id, frame, CAST(CASE WHEN track_id > 8 THEN 0 WHEN frame <= 700 THEN 0 WHEN frame <= 1400 THEN 1 ELSE 2 END AS BIGINT) AS part FROM pos""", "pos")
 _GT = """WITH gt AS (SELECT chunk, frame, track_id % 5 AS gt, pitch_x, pitch_y FROM pl WHERE team = 1), d AS (SELECT p.chunk, p.frame, p.track_id, g.gt, sqrt((p.pitch_x - g.pitch_x) ** 2 + (p.pitch_y - g.pitch_y) ** 2) AS d FROM pl p JOIN gt g ON g.chunk = p.chunk AND g.frame = p.frame),
 near AS (SELECT chunk, frame, track_id, gt FROM d WHERE d <= 15 QUALIFY row_number() OVER (PARTITION BY chunk, frame, track_id ORDER BY d, gt) = 1)
 """

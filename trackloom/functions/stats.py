@@ -153,3 +153,43 @@ def discordant(df: DataFrame, base: str, arm: str) -> DataFrame:
     """(helped, hurt, both, neither) of two boolean columns."""
     n = lambda a, b: F.count(F.when(F.col(base).eqNullSafe(a) & F.col(arm).eqNullSafe(b), 1))
     return df.agg(n(False, True).alias("helped"), n(True, False).alias("hurt"), n(True, True).alias("both"), n(False, False).alias("neither"))
+
+
+def signed_rank(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """(keys, n, w_plus, z, helped, hurt) of paired differences b - a by the signed-rank test; equal pairs count for nothing."""
+    d = df.select(*keys, (F.col(b) - F.col(a)).alias("_d")).where("_d <> 0").withColumn("_m", F.abs("_d"))
+    r = average_rank(d, keys, "_m", "_r")
+    n = F.count("*")
+    g = r.groupBy(*keys).agg(n.alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.count(F.when(F.col("_d") > 0, 1)).alias("helped"), F.count(F.when(F.col("_d") < 0, 1)).alias("hurt"))
+    mean, var = F.col("n") * (F.col("n") + 1) / 4, F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24
+    return g.select(*keys, "n", "w_plus", F.try_divide(F.col("w_plus") - mean, F.sqrt(var)).alias("z"), "helped", "hurt")
+
+
+def half_widths(df: DataFrame, bucket: str, resid: str, *, floor: float, least: int = 20) -> DataFrame:
+    """(bucket, n, width): half the spread between the 5th and 95th percentile of buckets with enough residuals, not below the floor."""
+    q = F.percentile(resid, F.array(F.lit(0.05), F.lit(0.95)))
+    return df.groupBy(bucket).agg(F.count(resid).alias("n"), F.greatest((q[1] - q[0]) / 2, F.lit(floor)).alias("width")).where(F.col("n") >= least)
+
+
+def coverage_table(df: DataFrame, bucket: str, resid: str, widths: DataFrame, *, k: float) -> DataFrame:
+    """(bucket, radius, covered): share of residuals within k half widths."""
+    j = df.join(widths.select(bucket, "width"), bucket)
+    return j.groupBy(bucket).agg((F.first("width") * k).alias("radius"), F.avg((F.abs(resid) <= F.col("width") * k).cast("double")).alias("covered"))
+
+
+def team_map(matched: DataFrame) -> DataFrame:
+    """(identity, flipped, mapping): which of two ways to map teams agrees with more rows (pred_team 0/1, team 1/2)."""
+    same = F.count(F.when(F.col("pred_team") + 1 == F.col("team"), 1))
+    turned = F.count(F.when(2 - F.col("pred_team") == F.col("team"), 1))
+    return matched.where("pred_team IN (0, 1)").agg(same.alias("identity"), turned.alias("flipped")).withColumn("mapping", F.when(F.col("identity") >= F.col("flipped"), "identity").otherwise("flipped"))
+
+
+def first_unskilled(errors: DataFrame, bucket: str, ours: str, bar: str, block: str, *, replicates: int = 200, level: float = 0.95, seed: int = 1) -> DataFrame:
+    """(bucket, gain, upper) of the first bucket whose bootstrap upper bound of our error minus the bar's is not below zero; no row if all are."""
+    d = errors.withColumn("_g", F.col(ours) - F.col(bar))
+    b = d.groupBy(bucket, block).agg(F.sum("_g").alias("s"), F.count("*").alias("n")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    u = (F.pmod(F.xxhash64(F.lit(seed), block, "r"), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    w = (u > 0.36787944117144233).cast("int") + (u > 0.7357588823428847).cast("int") + (u > 0.9196986029286058).cast("int") + (u > 0.9810118431238462).cast("int")
+    m = b.withColumn("w", w).groupBy(bucket, "r").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
+    up = m.groupBy(bucket).agg(F.percentile("m", level).alias("upper"), F.avg("m").alias("gain")).where("upper >= 0")
+    return up.agg(F.min(F.struct(F.col(bucket).alias("bucket"), "gain", "upper")).alias("x")).where("x IS NOT NULL").select("x.*")

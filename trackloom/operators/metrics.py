@@ -255,3 +255,16 @@ def snapshots(goals: DataFrame, matches: DataFrame, *, step: int = 1) -> DataFra
     w = Window.partitionBy("match").orderBy("minute", "_p").rowsBetween(Window.unboundedPreceding, 0)
     s = both.withColumn("diff", F.coalesce(F.sum("side").over(w), F.lit(0))).where("_p = 0")
     return s.select("match", "minute", F.explode(F.array(F.struct(F.lit("home").alias("side"), F.col("diff").alias("d")), F.struct(F.lit("away").alias("side"), (-F.col("diff")).alias("d")))).alias("p")).select("match", "minute", F.col("p.side").alias("perspective"), F.col("p.d").cast("long").alias("diff"))
+
+
+def phases_by_state(labels: DataFrame, shapes: DataFrame, states: DataFrame, metric: str) -> DataFrame:
+    """(team, phase, state, frames, metric): mean shape by phase and score state of the frame."""
+    j = labels.join(shapes.select(*FRAME, "team", metric), [*FRAME, "team"]).join(states.select(*FRAME, "state"), FRAME)
+    return j.groupBy("team", "phase", "state").agg(F.count("*").alias("frames"), F.avg(metric).alias(metric))
+
+
+def event_minutes(events: DataFrame, doc: str, *, kinds: tuple[str, ...]) -> DataFrame:
+    """(match, minute, kind, side): goals and cards of JSON event lists [{minute, type, home}]."""
+    schema = "array<struct<minute:int,type:string,home:boolean>>"
+    e = events.select("match", F.explode(F.from_json(doc, schema)).alias("e")).where(F.col("e.type").isin(*kinds))
+    return e.select("match", "e.minute", F.col("e.type").alias("kind"), F.when(F.col("e.home"), 1).otherwise(-1).alias("side"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trackloom.functions import stats as X
 from trackloom.operators import corpus as K
 from trackloom.operators import geometry as G
 from trackloom.operators import learned as L
+from trackloom.operators import metrics as M
 from trackloom.operators import network as N
 from trackloom.operators import possession as O
 from trackloom.operators import profiles as R
@@ -140,6 +142,29 @@ add("anchor_flags", lambda t: K.reachable_anchor_flags(t.ball.select((F.col("chu
 WITH c AS (SELECT chunk * 100000 + frame AS event_id, chunk, frame, x, y, frame % 14 + 1 AS player FROM ball)
 SELECT event_id, c.player, coalesce(bool_or(a.frame = c.frame OR sqrt((c.x - a.pitch_x) ** 2 + (c.y - a.pitch_y) ** 2) > 9 * abs(a.frame - c.frame) / 25.0 + 2), false) AS excluded FROM c LEFT JOIN pl a ON a.chunk = c.chunk AND a.track_id = c.player AND a.frame BETWEEN c.frame - 125 AND c.frame + 125 GROUP BY ALL""", "ball", "pl")
 
+_PR = "WITH d AS (SELECT l_returnflag, l_tax - l_discount AS d FROM lineitem WHERE l_tax <> l_discount), r AS (SELECT l_returnflag, d, rank() OVER (PARTITION BY l_returnflag ORDER BY abs(d)) + (count(*) OVER (PARTITION BY l_returnflag, abs(d)) - 1) / 2 AS r FROM d), w AS (SELECT l_returnflag, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, count(*) FILTER (d > 0) AS helped, count(*) FILTER (d < 0) AS hurt FROM r GROUP BY ALL)"
+add("signed_rank", lambda t: X.signed_rank(t.read("lineitem"), ["l_returnflag"], "l_discount", "l_tax").withColumns({c: r6(c) for c in ("w_plus", "z")}), _PR + " SELECT l_returnflag, n, R6(w_plus) AS w_plus, R6((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24)) AS z, helped, hurt FROM w")
+_HW = "WITH r AS (SELECT o_orderpriority AS b, o_totalprice / 1000 - 200 AS r FROM orders), w AS (SELECT b, count(*) AS n, greatest((quantile_cont(r, 0.95) - quantile_cont(r, 0.05)) / 2, 1) AS width FROM r GROUP BY b HAVING count(*) >= 20)"
+
+
+def _resid(t):
+    return t.read("orders").select(F.col("o_orderpriority").alias("b"), (F.col("o_totalprice") / 1000 - 200).alias("r"))
+
+
+add("half_widths", lambda t: X.half_widths(_resid(t), "b", "r", floor=1.0).withColumn("width", r6("width")), _HW + " SELECT b, n, R6(width) AS width FROM w")
+add("coverage_table", lambda t: X.coverage_table(_resid(t), "b", "r", X.half_widths(_resid(t), "b", "r", floor=1.0), k=0.8).withColumns({c: r6(c) for c in ("radius", "covered")}), _HW + " SELECT b, R6(max(width) * 0.8) AS radius, R6(avg((abs(r) <= width * 0.8)::INT)) AS covered FROM r JOIN w USING (b) GROUP BY b")
+add("team_map", lambda t: X.team_map(t.poss.select(F.col("team").alias("pred_team"), (F.col("carrier") % 3).alias("team"))), "WITH m AS (SELECT team AS p, carrier % 3 AS g FROM poss WHERE team IN (0, 1)), c AS (SELECT count(*) FILTER (p + 1 = g) AS identity, count(*) FILTER (2 - p = g) AS flipped FROM m) SELECT identity, flipped, CASE WHEN identity >= flipped THEN 'identity' ELSE 'flipped' END AS mapping FROM c", "poss")
+add("first_unskilled", lambda t: X.first_unskilled(t.read("lineitem").withColumn("b", F.floor(F.col("l_quantity") / 10).cast("int")), "b", "l_discount", "l_tax", "l_suppkey"))
+_ELO = "SELECT c_mktsegment, R6(avg(1 / (1 + pow(10.0::DOUBLE, (c_nationkey * 10 - c_acctbal / 20 - 60) / 400)))) AS p FROM customer GROUP BY ALL"
+add("elo_expected", lambda t: t.read("customer").groupBy("c_mktsegment").agg(r6(F.avg(L.elo_expected(F.col("c_acctbal") / 20, F.col("c_nationkey") * 10.0))).alias("p")), _ELO)
+add("phases_by_state", lambda t: M.phases_by_state(M.four_phases(t.poss, window=40), S.frame_shapes(t.pos).select("chunk", "frame", "team", "width"), t.ball.withColumn("state", F.when(F.col("x") < 35, "chasing").when(F.col("x") < 70, "level").otherwise("leading")), "width").withColumn("width", r6("width")), """
+WITH p AS (SELECT *, lag(team) OVER (PARTITION BY chunk ORDER BY frame) AS was FROM poss), f AS (SELECT *, last_value(CASE WHEN team <> was THEN frame END IGNORE NULLS) OVER w AS ff, last_value(CASE WHEN team <> was THEN team END IGNORE NULLS) OVER w AS won, last_value(CASE WHEN team <> was THEN was END IGNORE NULLS) OVER w AS lost FROM p WINDOW w AS (PARTITION BY chunk ORDER BY frame)),
+fp AS (SELECT chunk, frame, t.team, CASE WHEN frame - ff <= 40 AND t.team = won THEN 'trans_pos' WHEN frame - ff <= 40 AND t.team = lost THEN 'trans_neg' WHEN t.team = f.team THEN 'in_poss' ELSE 'out_poss' END AS phase FROM f, (SELECT unnest([0, 1]) AS team) t),
+s AS (SELECT chunk, frame, team, max(pitch_y) - min(pitch_y) AS width FROM pl GROUP BY ALL HAVING count(*) >= 4)
+SELECT fp.team, phase, CASE WHEN x < 35 THEN 'chasing' WHEN x < 70 THEN 'level' ELSE 'leading' END AS state, count(*) AS frames, R6(avg(width)) AS width FROM fp JOIN s ON s.chunk = fp.chunk AND s.frame = fp.frame AND s.team = fp.team JOIN ball b ON b.chunk = fp.chunk AND b.frame = fp.frame GROUP BY ALL""", "poss")
+add("event_minutes", lambda t: M.event_minutes(t.stream.select(F.col("event_id").alias("match"), F.concat(F.lit('[{"minute": '), (F.col("event_id") % 90).cast("string"), F.lit(', "type": "'), F.col("event_type"), F.lit('", "home": '), (F.col("event_id") % 2 == 0).cast("string"), F.lit("}]")).alias("doc")), "doc", kinds=("purchase", "click")), """
+SELECT event_id AS match, CAST(event_id % 90 AS INTEGER) AS minute, event_type AS kind, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side FROM stream WHERE event_type IN ('purchase', 'click')""", "stream")
+
 
 def _states(t):
     o = t.read("orders")

@@ -90,7 +90,7 @@ class Tables:
 
     @cached_property
     def stream(self) -> DataFrame:
-        return self.spark.sql(STREAM.replace("{epoch}", "unix_seconds(CAST(ts AS TIMESTAMP))"), events=self.read("events"))
+        return self.spark.sql(STREAM.replace("{epoch}", "(datediff(CAST(ts AS DATE), DATE'1970-01-01') * 86400L + hour(ts) * 3600 + minute(ts) * 60 + second(ts))"), events=self.read("events"))
 
     @cached_property
     def players(self) -> DataFrame:

@@ -66,6 +66,15 @@ def test_long_text_with_the_passage_at_the_end(spark):
     assert [(r["doc_id"], r["item_id"], r["span"], r["errors"]) for r in out.collect()] == [(1, 5, 30, 0)]
 
 
+def test_hyphens_do_not_matter(spark):
+    item = "A goal-kick, a re-entry and twenty-three wing-backs; a throw-in, then forty-two set-pieces of state-of-the-art make-up."
+    forms = [item, item.replace("-", " "), item.replace("-", ""), item.replace("-", "-\n"), item.replace("-", "‑").upper()]
+    docs = spark.createDataFrame([(i, f"Before it came this. {t} And after it that.") for i, t in enumerate(forms)], "doc_id long, text string")
+    for it in (item, item.replace("-", "‐")):
+        out = L.find_leaks(docs, spark.createDataFrame([(1, it)], "item_id long, text string"))
+        assert {r["doc_id"] for r in out.collect()} == set(range(len(forms)))
+
+
 def test_words():
     assert words("Goal-kick, stop-\nwatch’s <b>RE&amp;D</b> &#44; É soft­hyphen [x](http://a.b/c)") == ["goalkick", "stopwatchs", "re", "d", "e", "softhyphen", "x"]
     assert words(None) == words("") == words(" \n") == []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.words import words
+from trackloom.llm.words import Joiner, compounds, words
 
 #: 1 counts, 0 is ignored.
 MASKS = ("11111", "110111", "111011", "1101011")
@@ -56,10 +56,12 @@ class Items:
     flat: np.ndarray
     vocabulary: dict[str, int]
     seeds: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    joined: Joiner
 
     @staticmethod
-    def build(rows: list[tuple[int, list[str]]]) -> Items:
-        rows = [(i, w) for i, w in rows if w]
+    def build(rows: list[tuple[int, list[str]]], parts: set[tuple[str, ...]] = frozenset()) -> Items:
+        joined = Joiner(parts)
+        rows = [(i, joined(w)) for i, w in rows if w]
         vocabulary: dict[str, int] = {}
         coded = [np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.int32) for _, w in rows]
         lengths = np.array([len(c) for c in coded], np.int64)
@@ -85,7 +87,7 @@ class Items:
             table = np.zeros(1 << _BITS, bool)
             table[(h[pos] >> np.uint64(64 - _BITS)).astype(np.int64)] = True
             seeds[mask] = (h[pos], owner[pos], pos - starts[owner[pos]], np.packbits(table))
-        return Items(np.array([i for i, _ in rows], np.int64), lengths, starts, flat, vocabulary, seeds)
+        return Items(np.array([i for i, _ in rows], np.int64), lengths, starts, flat, vocabulary, seeds, joined)
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
         """Every (word position, item, item position) whose windows share a hash."""
@@ -225,12 +227,12 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("span", p
 
 def _search(items: Items, every: bool, step: int = 2000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = items.vocabulary.get
+        get, joined = items.vocabulary.get, items.joined
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
             rows = []
             for a in range(0, len(texts), step):
-                docs = [[get(w, 0) for w in words(t.decode("utf-8", "replace") if t is not None else None)] for t in texts[a : a + step]]
+                docs = [[get(w, 0) for w in joined(words(t.decode("utf-8", "replace") if t is not None else None))] for t in texts[a : a + step]]
                 rows += [(names[a + i].as_py(), int(items.ids[k]), s, e, x) for i, k, s, e, x in find_in(items, docs) if every or leaks(s, e, x, int(items.lengths[k]))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
@@ -238,18 +240,20 @@ def _search(items: Items, every: bool, step: int = 2000):
     return run
 
 
-def blocks_of(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items in blocks of at most BLOCK_WORDS words (a longer item is a block of its own)."""
-    block, held = [], 0
+def blocks_of(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[list[tuple[int, list[str]]], set[tuple[str, ...]]]]:
+    """The items, with the parts of their hyphenated words, in blocks of at most BLOCK_WORDS words (a longer item is a block of its own)."""
+    block, parts, held = [], set(), 0
     for r in items.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("binary").alias("t")).where("i is not null and t is not null").toLocalIterator():
-        w = words(bytes(r["t"]).decode("utf-8", "replace"))
+        t = bytes(r["t"]).decode("utf-8", "replace")
+        w = words(t)
         if block and held + len(w) > BLOCK_WORDS:
-            yield block
-            block, held = [], 0
+            yield block, parts
+            block, parts, held = [], set(), 0
         block.append((r["i"], w))
+        parts |= compounds(t)
         held += len(w)
     if block:
-        yield block
+        yield block, parts
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", every: bool = False) -> DataFrame:
@@ -261,8 +265,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id is not null and text is not null")
     kind = "doc_id long, item_id long, span int, equal int, errors int"
     found = None
-    for block in blocks_of(items, item_id, text):
-        part = docs.mapInArrow(_search(Items.build(block), every), kind)
+    for block, parts in blocks_of(items, item_id, text):
+        part = docs.mapInArrow(_search(Items.build(block, parts), every), kind)
         found = part if found is None else found.union(part)
     if found is None:
         return documents.sparkSession.createDataFrame([], kind)

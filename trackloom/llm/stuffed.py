@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"https?://\S+|www\.\S+|</?[A-Za-z][^<>]{0,300}>|\]\([^()\s]{1,300}\)|#\w+|[^\W_]+(?:['’\-][^\W_]+)*|\n[^\S\n]*\n\s*|[^\w\s]|\n|_+")
+_TOKEN = re.compile(r"https?://\S+|www\.\S+|</?[A-Za-z][^<>]*>|\]\([^()\s]+\)|#\w+|[^\W_]+(?:['’\-][^\W_]+)*|\n[^\S\n]*\n\s*|[^\w\s]|\n|_+")
 #: Function words by kind, in English, German, French and Spanish.
 FUNCTION = {
     "det": "the a an this that these those its their our your his her every each any some no der die das den dem ein eine einen le la les un une des du el los las una al del",

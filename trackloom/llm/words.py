@@ -7,11 +7,11 @@ import re
 import unicodedata
 
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|\]\([^()\s]+\)", re.S)
-_GONE = re.compile("[­​-‏⁠﻿'’ʼ`´]")
-_HYPHEN = re.compile(r"(?<=[^\W_])[-‐‑‒](?:\s*\n\s*)?(?=[^\W_])|(?<=[^\W_])[-‐‑‒][ \t]*\r?\n\s*(?=[^\W_])")
+_GONE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff'\u2019\u02bc`\u00b4]")
+_HYPHEN = re.compile(r"(?<=[^\W_])[-\u2010\u2011\u2012](?:\s*\n\s*)?(?=[^\W_])|(?<=[^\W_])[-\u2010\u2011\u2012][ \t]*\r?\n\s*(?=[^\W_])")
 _MARK = re.compile("[\u0300-\u036f]+")
 _WORD = re.compile(r"[^\W_]+")
-_COMPOUND = re.compile(r"[^\W_]+(?:[-‐‑‒][^\W_]+)+")
+_COMPOUND = re.compile(r"[^\W_]+(?:[-\u2010\u2011\u2012][^\W_]+)+")
 
 
 def _clean(text: str) -> str:

@@ -78,3 +78,48 @@ def test_hyphens_do_not_matter(spark):
 def test_words():
     assert words("Goal-kick, stop-\nwatch’s <b>RE&amp;D</b> &#44; É soft­hyphen [x](http://a.b/c)") == ["goalkick", "stopwatchs", "re", "d", "e", "softhyphen", "x"]
     assert words(None) == words("") == words(" \n") == []
+
+
+def pairs_in(items, docs):
+    built = L.Items.build(list(enumerate(items)))
+    coded = [[built.vocabulary.get(w, 0) for w in d] for d in docs]
+    return {(d, k) for d, k, s, e, x in L.find_in(built, coded) if L.leaks(s, e, x, len(items[k]))}
+
+
+def test_exact_passage_inside_loose_text():
+    item = [f"i{k}" for k in range(120)]
+    loose = [f"x{k}" if k % 4 == 0 else w for k, w in enumerate(item)]
+    faulty = [f"x{k}" if k in (2, 5, 8, 11, 14, 17, 30, 50) else w for k, w in enumerate(item[:60])]
+    docs = [["f"] * 9 + item[:20] + loose[20:60] + ["f"] * 9, ["f"] * 9 + loose[40:80] + item[80:100] + loose[100:], faulty, loose]
+    docs.append(loose[:60] + ["f"] * 9 + item[90:110])  # a clean passage beside a longer loose one
+    docs.append(loose[:60] + item[90:110])
+    assert pairs_in([item], docs) == {(0, 0), (1, 0), (2, 0), (4, 0), (5, 0)}
+
+
+def some_passage(item, doc):
+    """Whether a stretch of the item is within the error bound of some words of the document, by edit distances."""
+    need = min(L.PASSAGE, len(item))
+    for a in range(len(item) - need + 1):
+        row = [0] * (len(doc) + 1)
+        for s, w in enumerate(item[a : a + 2 * L.PASSAGE], 1):
+            new = [s]
+            for j, x in enumerate(doc, 1):
+                new.append(min(row[j - 1] + (x != w), row[j] + 1, new[j - 1] + 1))
+            row = new
+            if s >= need and min(row) <= max(1, round(L.ERRORS * s)):
+                return True
+    return False
+
+
+def test_verdict_equals_edit_distances():
+    rng = random.Random(4)
+    items = [[rng.choice(VOCAB) for _ in range(n)] for n in (24, 40, 60, 60)]
+    docs = []
+    for d in range(80):
+        piece, rate = [], rng.choice([0.1, 0.2, 0.3])
+        for k, w in enumerate(items[d % 4]):
+            r = rng.random() / (rate if k % 40 < 15 else 0.12)
+            piece += [f"c{k}"] if r < 0.5 else [] if r < 0.75 else [w, f"a{k}"] if r < 1 else [w]
+        docs.append(["f"] * rng.randrange(6) + piece + ["f"] * rng.randrange(6))
+    want = {(d, d % 4) for d in range(80) if some_passage(items[d % 4], docs[d])}
+    assert 20 < len(want) < 75 and pairs_in(items, docs) == want

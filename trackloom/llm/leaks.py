@@ -3,7 +3,9 @@
 Fixed masks hash some words of every window of the items and ignore the others, so a changed word inside a
 window does not hide it.  The documents' windows are hashed the same way and joined to the items' hashes;
 around each hit a substitution-tolerant count of equal words on the neighbouring diagonals decides whether
-the exact alignment is worth while, and a banded local alignment measures the passage.
+the exact alignment is worth while, and a banded local alignment measures the passage.  Where that alignment,
+grown through loose text, has too many errors, the farthest words that few errors reach either way from each
+run of equal words tell whether some stretch of it is a passage nevertheless.
 
 Items are the small side: they are read in blocks of at most ``BLOCK_WORDS`` words, one pass over the
 documents each, so the table sent to the executors has a fixed bound whatever the number of items.
@@ -31,7 +33,11 @@ PASSAGE = 20
 ERRORS = 0.12
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
-_REACH, _SHIFT = 24, 4
+_SHIFT = 4
+#: Any passage holds one of PASSAGE to 2 * PASSAGE - 1 words within the error bound, so no more errors need be allowed from a run.
+_MOST = round(ERRORS * (2 * PASSAGE - 1))
+#: Words looked at on either side of the start of a run: a run of under PASSAGE words and such a passage.
+_FAR = 3 * PASSAGE
 
 
 def _hash(ids: np.ndarray, at: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +118,12 @@ class Items:
 
 def _promising(items: Items, ids: np.ndarray, d: np.ndarray, k: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Hits around which some stretch has nearly enough equal words on the neighbouring diagonals."""
-    off = np.arange(-_REACH, _REACH + 1)
+    off = np.arange(-_FAR, _FAR + 1)
     ip = p[:, None] + off
     inside = (ip >= 0) & (ip < items.lengths[k][:, None])
     want = np.where(inside, items.flat[np.clip(items.starts[k][:, None] + ip, 0, len(items.flat) - 1)], -1)
     equal = np.zeros(want.shape, bool)
-    for s in range(-_SHIFT, _SHIFT + 1):
+    for s in range(-_MOST, _MOST + 1):
         dp = d[:, None] + off + s
         equal |= (dp >= 0) & (dp < len(ids)) & (ids[np.clip(dp, 0, len(ids) - 1)] == want)
     need = np.minimum(PASSAGE, items.lengths[k])
@@ -178,6 +184,41 @@ def leaks(span: int, equal: int, errors: int, length: int) -> bool:
     return missing <= 2 and errors + missing <= max(1, round(ERRORS * max(span, need)))
 
 
+def _reached(doc: list[int], item: list[int], most: int) -> list[tuple[int, int]]:
+    """The most leading words of the item, and the equal ones among them, that leading words of the document match with at most 0, 1, ... errors."""
+    n, m = len(doc), len(item)
+
+    def slide(i: int, j: int, equal: int) -> tuple[int, int]:
+        start = i
+        while i < m and j < n and item[i] == doc[j]:
+            i, j = i + 1, j + 1
+        return i, equal + i - start
+
+    far = {0: slide(0, 0, 0)}  # by the document's words beyond the item's
+    out = [far[0]]
+    for _ in range(most):
+        new: dict[int, tuple[int, int]] = {}
+        for o, (i, equal) in far.items():
+            for oo, ii in ((o, i + 1), (o + 1, i), (o - 1, i + 1)):
+                if ii <= m and 0 <= ii + oo <= n and (ii, equal) > new.get(oo, (-1, 0)):
+                    new[oo] = ii, equal
+        far = {o: slide(i, i + o, equal) for o, (i, equal) in new.items()}
+        out.append(max([out[-1], *far.values()]))
+    return out
+
+
+def stretch(doc: list[int], item: list[int], j: int, i: int) -> tuple[int, int, int] | None:
+    """(item words spanned, equal words, errors) of the longest leaking passage through the equal words at j and i, if any."""
+    right = _reached(doc[j : j + _FAR + _MOST], item[i : i + _FAR], _MOST)
+    left = _reached(doc[max(0, j - _FAR - _MOST) : j][::-1], item[max(0, i - _FAR) : i][::-1], _MOST)
+    need = min(PASSAGE, len(item))
+    good = [(x + y, -(a + b), e + f) for a, (x, e) in enumerate(left) for b, (y, f) in enumerate(right) if x + y >= need and leaks(x + y, e + f, a + b, len(item))]
+    if not good:
+        return None
+    span, errors, equal = max(good)
+    return span, equal, -errors
+
+
 def find_in(items: Items, docs: list[list[int]]) -> list[tuple[int, int, int, int, int]]:
     """(document, item, span, equal, errors) of the best alignment of every promising pair."""
     gap = np.zeros(max(len(m) for m in MASKS) + 1, np.int32)
@@ -192,10 +233,10 @@ def find_in(items: Items, docs: list[list[int]]) -> list[tuple[int, int, int, in
     d, k, p = items.hits(ids)
     if not len(d):
         return []
-    # one hit per item, diagonal band and stretch of the item
+    # one hit per item, diagonal and run of hits
     longest = int(items.lengths.max())
-    key = (k.astype(np.int64) * (len(ids) + longest) + (d - p + longest)) * (longest // 16 + 1) + p // 16
-    first = np.unique(key, return_index=True)[1]
+    key, first = np.unique((k.astype(np.int64) * (len(ids) + longest) + (d - p + longest)) * (longest + 1) + p, return_index=True)
+    first = first[np.diff(key, prepend=-2) > 1]
     d, k, p = d[first], k[first], p[first]
     keep = np.zeros(len(d), bool)
     for a in range(0, len(d), 50_000):
@@ -205,19 +246,21 @@ def find_in(items: Items, docs: list[list[int]]) -> list[tuple[int, int, int, in
     doc = np.searchsorted(starts, d, "right") - 1
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     done: dict[tuple[int, int], set[int]] = {}
-    for a, b, diag in zip(doc.tolist(), k.tolist(), (d - p).tolist(), strict=True):
+    for a, b, diag, at in zip(doc.tolist(), k.tolist(), (d - p).tolist(), p.tolist(), strict=True):
         length = int(items.lengths[b])
-        if (old := best.get((a, b))) and leaks(*old, length):
+        old = best.get((a, b))
+        if old and leaks(*old, length):
             continue
         seen = done.setdefault((a, b), set())
-        if diag // 3 in seen:
-            continue
-        seen.add(diag // 3)
-        band = _SHIFT + length // 16
-        lo, hi = max(0, diag - starts[a] - band), max(0, diag - starts[a] + length + band)
         item = items.flat[items.starts[b] : items.starts[b] + length].tolist()
-        got = align(docs[a][lo:hi], item, int(diag - starts[a] - lo), band)
-        if not old or got[1] - 2 * got[2] > old[1] - 2 * old[2]:
+        if diag // 3 not in seen:
+            seen.add(diag // 3)
+            band = _SHIFT + length // 16
+            lo, hi = max(0, diag - starts[a] - band), max(0, diag - starts[a] + length + band)
+            got = align(docs[a][lo:hi], item, int(diag - starts[a] - lo), band)
+            if not old or leaks(*got, length) or got[1] - 2 * got[2] > old[1] - 2 * old[2]:
+                best[a, b] = old = got
+        if not leaks(*old, length) and (got := stretch(docs[a], item, int(diag + at - starts[a]), at)):
             best[a, b] = got
     return [(a, b, *v) for (a, b), v in best.items()]
 

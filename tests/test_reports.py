@@ -20,6 +20,38 @@ def test_contradictions(spark):
     assert {tuple(r) for r in Q.contradictions(df).collect()} == {(1, 2, "number"), (1, 5, "statement")}
 
 
+def test_contradictions_of_hot_tags_equal_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    say = ["high line holds", "high line holds today", "press comes late", "late press comes after losses", "tiny", "", None, "wing play wide left flank", "wing play wide right flank"]
+    vals = [0.0, -3.0, 1.0, 1.2, 9.0, 9.5, 40.0, None, float("nan"), float("inf")]
+    rows = [(i, ["hot"] * (i % 3 > 0) + ["ab"[i % 2]] * (i % 5 > 0) + ["hot"] * (i % 7 == 0), "open" if i % 11 == 0 else "confirmed", ["m", "s", None][i % 7 % 3], vals[rng.integers(10)], [int(rng.integers(120))], say[rng.integers(9)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, tags array<string>, status string, unit string, value double, links array<long>, statement string")
+    for ratio, overlap in ((0.25, 0.6), (0.9, 0.3), (0.1, 0.0), (0.15, 1.0)):
+        want = set()
+        for x, y in itertools.combinations([r for r in rows if r[2] == "confirmed"], 2):
+            if not set(x[1]) & set(y[1]) or y[0] in x[5] or x[0] in y[5]:
+                continue
+            v, w = x[4], y[4]
+            wx, wy = ({t for t in (z[6] or "").split() if len(t) > 3} for z in (x, y))
+            # as in Spark, where NaN is above all numbers
+            if x[3] and x[3] == y[3] and v is not None and w is not None and v == v and w == w and (v == w == float("inf") or abs(v - w) > ratio * max(abs(v), abs(w))):
+                want.add((x[0], y[0], "number"))
+            elif wx | wy and len(wx & wy) / len(wx | wy) > overlap:
+                want.add((x[0], y[0], "statement"))
+        for block in (4, 1000) if ratio == 0.25 else (4,):
+            got = [tuple(r) for r in Q.contradictions(df, ratio=ratio, overlap=overlap, block=block).collect()]
+            assert len(got) == len(set(got)) and set(got) == want, (ratio, overlap, block)
+
+
+def test_contradictions_are_sought_over_single_tags(spark, tmp_path):
+    parts = [(1, "old bolt", "A", "B1", 1), (6, "new ring", "A", "B2", 50), (9, "cold plate", "C", "B2", 2), (12, "blue cog", "D", "B9", 1)]
+    spark.createDataFrame([(*p, 1.0) for p in parts], "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    from trackloom.queries_reports import QUERIES
+
+    got = {tuple(r) for r in QUERIES["all_contradictions"](spark, str(tmp_path)).select("a", "b", "reason").collect()}
+    assert got == {(1, 6, "number"), (6, 9, "number")}
+
+
 def test_earth_mover_matches_permutations():
     rng = np.random.default_rng(0)
     for n in (2, 3, 5):

@@ -15,6 +15,8 @@ from trackloom.functions import pitch as P
 from trackloom.functions.text import NUMBER, SKIP, TOLERANCE
 from trackloom.operators.imputation import between_sightings
 from trackloom.operators.shape import PLAYERS
+from trackloom.plans.cut import cut
+from trackloom.plans.joins import join_checked
 from trackloom.plans.ordered import range_join
 
 FRAME = ["chunk", "frame"]
@@ -31,19 +33,83 @@ def dead_evidence(claims: DataFrame, files: DataFrame) -> DataFrame:
     return e.join(files, "path", "left_anti").select("id", "path")
 
 
-def contradictions(claims: DataFrame, *, ratio: float = 0.25, overlap: float = 0.6) -> DataFrame:
+def _met(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of two units that pairs (ul, ur) names, columns suffixed _l and _r; within one unit each two rows meet once."""
+    l, r = (rows.select(F.col("u").alias(f"u{s}"), *(F.col(x).alias(f"{x}_{s}") for x in rows.columns if x != "u")).join(pairs, f"u{s}") for s in ("l", "r"))
+    return l.join(r, ["ul", "ur"]).where("id_l <> id_r AND (ul <> ur OR id_l < id_r)")
+
+
+def _unlinked(met: DataFrame, reason: str) -> DataFrame:
+    """(a, b, reason) of the pairs that no link joins; a pair is taken from the least tag it shares."""
+    m = met.where("tag_l = array_min(array_intersect(tags_l, tags_r)) AND NOT array_contains(links_l, id_r) AND NOT array_contains(links_r, id_l)")
+    return m.select(F.least("id_l", "id_r").alias("a"), F.greatest("id_l", "id_r").alias("b"), F.lit(reason).alias("reason"))
+
+
+def _units(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Rows with the unit u of about ``block`` rows of their key that they belong to."""
+    n = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("_n"))
+    return join_checked(rows, n, keys).withColumn("u", F.struct(*keys, F.expr("pmod(xxhash64(id), _n)").alias("k"))).drop("_n")
+
+
+def _far_apart(c: DataFrame, ratio: float, block: int) -> DataFrame:
+    """Pairs of a tag and unit whose values differ: value ranges of bounded units meet where their ends can differ enough."""
+    c = c.where("unit IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)").withColumn("v", F.col("value").cast("double"))
+    cuts = c.groupBy("tag", "unit").agg(F.count("*").alias("n"), F.percentile_approx("v", [i / 128 for i in range(1, 128)], 1000).alias("cuts")).select("tag", "unit", F.least(F.lit(128), F.ceil(F.col("n") / block)).alias("n"), F.when(F.col("n") > block, F.col("cuts")).alias("cuts"))
+    at = F.coalesce(F.size(F.filter("cuts", lambda x: x <= F.col("v"))) * F.col("n"), F.lit(0))
+    c = join_checked(c, cuts, ["tag", "unit"]).withColumn("range", F.when(F.col("cuts").isNull(), 0).otherwise(F.floor(at / 128))).drop("n", "cuts")
+    # sketched cuts may differ when computed again
+    c = cut(_units(c, ["tag", "unit", "range"], block).select("u", "tag", "id", "v", "value", "links", "tags"))
+    apart = lambda x, y: F.abs(F.col(x) - F.col(y)) > ratio * F.greatest(F.abs(x), F.abs(y))
+    s = c.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    l, r = (s.select(F.col("u.tag"), F.col("u.unit"), F.col("u").alias(f"u{e}"), F.col("lo").alias(f"lo_{e}"), F.col("hi").alias(f"hi_{e}")) for e in ("l", "r"))
+    # up to a ratio of 1 the difference beyond the bound is greatest at ends of the ranges
+    some = F.lit(ratio > 1)
+    for x in ("lo", "hi"):
+        some = some | F.abs(f"{x}_l").eqNullSafe(float("inf")) | F.abs(f"{x}_r").eqNullSafe(float("inf"))
+        for y in ("lo", "hi"):
+            some = some | apart(f"{x}_l", f"{y}_r")
+    pairs = cut(l.join(r, ["tag", "unit"]).where("ul <= ur").where(some).select("ul", "ur"))
+    return _unlinked(_met(c.drop("v"), pairs).where(apart("value_l", "value_r")), "number")
+
+
+def _alike(c: DataFrame, overlap: float, block: int) -> DataFrame:
+    """Pairs of a tag whose word sets overlap: equal sets count once, and two overlapping sets share one of their rarest words."""
+    c = c.where(F.size("w") > 0).withColumn("s", F.concat_ws(" ", F.array_sort("w")))
+    sets = cut(c.select("s", "w").dropDuplicates(["s"]))
+    each = sets.select("s", "w", F.explode("w").alias("word"))
+    rank = each.groupBy("word").agg(F.count("*").alias("n"))
+    ranked = each.join(rank, "word").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("r"))
+    # of m words more than overlap * m are shared, so one of them is among all but that many of the rarest
+    shared = F.greatest(F.floor(F.size("r") * F.lit(overlap) - 1e-9) + 1, F.lit(1))
+    first = ranked.select("s", F.col("r.word").alias("w"), F.explode(F.slice("r.word", 1, F.greatest(F.size("r") - shared.cast("int") + 1, F.lit(0)))).alias("word"))
+    first = cut(_units(cut(first.withColumnRenamed("s", "id")), ["word"], block))
+    of = first.select("u").distinct()
+    l, r = (of.select(F.col("u.word"), F.col("u").alias(f"u{e}")) for e in ("l", "r"))
+    jac = F.try_divide(F.size(F.array_intersect("w_l", "w_r")), F.size(F.array_union("w_l", "w_r")))
+    two = _met(first.select("u", "id", "w"), l.join(r, "word").where("ul <= ur").select("ul", "ur")).where(jac > overlap)
+    alike = two.select(F.least("id_l", "id_r").alias("sl"), F.greatest("id_l", "id_r").alias("sr")).distinct()
+    alike = cut(alike.union(sets.where(F.lit(overlap < 1)).select("s", "s")))
+    c = cut(_units(c.select("tag", "s", "id", "links", "tags"), ["tag", "s"], block))
+    of = c.select("u").distinct()
+    l, r = (of.select(F.col("u.tag").alias("tag"), F.col("u.s").alias(f"s{e}"), F.col("u").alias(f"u{e}")) for e in ("l", "r"))
+    pairs = cut(alike.join(l, "sl").join(r, ["tag", "sr"]).where("sl <> sr OR ul <= ur").select("ul", "ur"))
+    return _unlinked(_met(c.select("u", "tag", "id", "links", "tags"), pairs), "statement")
+
+
+def contradictions(claims: DataFrame, *, ratio: float = 0.25, overlap: float = 0.6, block: int = 1000) -> DataFrame:
     """(a, b, reason) of confirmed, unlinked claims that share a tag and differ in number, or say nearly the same.
 
-    Claims meet only through an exploded tag, and a pair that shares several tags counts once.
+    Claims meet in units of about ``block``, so that the pairs of a hot tag are spread over tasks, and only where
+    their value ranges or word sets allow a finding.  A pair that shares several tags counts once.
     """
+    if overlap < 0:
+        raise ValueError("overlap below 0 holds for every pair")
     words = F.array_distinct(F.filter(F.split(F.lower("statement"), r"[\s.,():\-]+"), lambda w: F.length(w) > 3))
-    c = claims.where("status = 'confirmed'").select("id", "unit", "value", "links", words.alias("w"), F.explode(F.array_distinct("tags")).alias("tag"))
-    l, r = (c.select("tag", *(F.col(x).alias(f"{x}_{s}") for x in ("id", "unit", "value", "links", "w"))) for s in ("l", "r"))
-    j = l.join(r, "tag").where("id_l < id_r AND NOT array_contains(links_l, id_r) AND NOT array_contains(links_r, id_l)").drop("tag").dropDuplicates(["id_l", "id_r"])
-    gap = F.abs(F.col("value_l") - F.col("value_r")) > ratio * F.greatest(F.abs("value_l"), F.abs("value_r"))
-    jac = F.try_divide(F.size(F.array_intersect("w_l", "w_r")), F.size(F.array_union("w_l", "w_r")))
-    reason = F.when((F.col("unit_l") == F.col("unit_r")) & gap, "number").when(jac > overlap, "statement")
-    return j.select(F.col("id_l").alias("a"), F.col("id_r").alias("b"), reason.alias("reason")).where("reason IS NOT NULL")
+    c = claims.where("status = 'confirmed'").select("id", "unit", "value", "links", words.alias("w"), F.array_distinct("tags").alias("tags")).withColumn("tag", F.explode("tags")).where("tag IS NOT NULL")
+    # the steps are cut, as one plan of all of them takes more of the driver's memory than their rows
+    c = cut(c)
+    found = _far_apart(c, ratio, block).union(_alike(c, overlap, block))
+    return found.groupBy("a", "b").agg(F.min("reason").alias("reason"))
 
 
 def marked(text: Column, facts: list[tuple[str, float]], marker: str = "[?{}]") -> Column:

@@ -28,6 +28,9 @@ add("dead_evidence", lambda t: Q.dead_evidence(_claims(t), t.spark.range(40).sel
 add("contradictions", lambda t: Q.contradictions(_claims(t).withColumn("tags", F.array(F.concat_ws("/", F.element_at("tags", 1), F.element_at("tags", 2), (F.col("id") % 7).cast("string")))), ratio=0.9, overlap=0.6), _CL + """
 , j AS (SELECT a.id AS a, b.id AS b, abs(a.v - b.v) > 0.9 * greatest(abs(a.v), abs(b.v)) AS n, len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) AS jac FROM c a JOIN c b ON a.ok AND b.ok AND a.id < b.id AND a.t1 = b.t1 AND a.t2 = b.t2 AND a.id % 7 = b.id % 7 AND b.id <> a.id + 1)
 SELECT a, b, CASE WHEN n THEN 'number' ELSE 'statement' END AS reason FROM j WHERE n OR jac > 0.6""")
+add("all_contradictions", lambda t: Q.contradictions(_claims(t), ratio=0.9, overlap=0.6), _CL + """
+, j AS (SELECT a.id AS a, b.id AS b, abs(a.v - b.v) > 0.9 * greatest(abs(a.v), abs(b.v)) AS n, len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) AS jac FROM c a JOIN c b ON a.ok AND b.ok AND a.id < b.id AND (a.t1 = b.t1 OR a.t2 = b.t2) AND b.id <> a.id + 1)
+SELECT a, b, CASE WHEN n THEN 'number' ELSE 'statement' END AS reason FROM j WHERE n OR jac > 0.6""")
 add("marked_numbers", lambda t: t.read("documents").select("doc_id", Q.marked(F.col("text"), [("pct", 12.5), ("m", 7.7), ("count", 40.0)]).alias("text")))
 add("map_distance", lambda t: Q.map_distance(*(t.players.where(f"team = {k}").groupBy(F.floor(F.col("pitch_x") / 15).alias("cell")).agg(F.count("*").alias("n")) for k in (0, 1)), ["cell"], "n").withColumn("distance", r6("distance")), """
 WITH g AS (SELECT team, floor(pitch_x / 15) AS cell, count(*) AS n FROM pl GROUP BY ALL) SELECT R6(avg(abs(a.n - b.n))) AS distance FROM g a JOIN g b ON a.cell = b.cell AND a.team = 0 AND b.team = 1""", "pl")

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -399,6 +400,17 @@ def test_numbers_in_prose(spark):
     assert unbacked("In 2019 the second half") == []
 
 
+def test_each_number_is_judged_at_its_own_place(spark):
+    rng = random.Random(8)
+    bits = ["half-time ", "2059", "20", "9", "9 ", "9 9 9 9 9 9 9 9 ", " m", " %", ", ", "second ", " they ran and ran ", "7.5", "\n", "first"]
+    texts = ["9 before half-time, and later in the match it was 9 again", "It was 2059 by then; much later they had 20 of them", "passes by the dozen: 9, and later still the second 9 of them", "", None, "7", "no number", *("".join(rng.choices(bits, k=12)) for _ in range(300))]
+    number, skip = re.compile(W.NUMBER, re.ASCII), re.compile(W.SKIP, re.ASCII)
+    want = {(k, i, float(m.group(1))) for k, t in enumerate(texts) for i, m in enumerate(number.finditer(t or "")) if m.group(2) or not skip.search(t[max(0, m.start() - 12) : m.end() + 12])}
+    got = W.numbers(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t")
+    assert {(r["id"], r["i"], r["value"]) for r in got.collect()} == want
+    assert {(0, 1, 9.0), (1, 1, 20.0), (2, 0, 9.0)} <= want and not {(0, 0, 9.0), (2, 1, 9.0)} & want
+
+
 def test_json_leaves(spark):
     df = spark.createDataFrame([(1, '{"a": {"b": 1.5, "c": [2, "x"]}, "d": true, "e": null}')], "id long, doc string")
     assert {(r["label"], r["value"]) for r in W.flatten_json(df, "id", "doc").collect()} == {("a.b", 1.5), ("a.c.0", 2.0)}

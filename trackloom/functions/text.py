@@ -27,13 +27,16 @@ def tolerance(kind: Column) -> Column:
 
 def numbers(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, i, raw, value, kind) of each number of a text; unit-less ones within twelve characters of a skipped word are left out."""
-    raw = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
-    d = df.select(key, F.col(text).alias("_t"), F.posexplode(raw).alias("i", "raw"))
-    # the context is looked up around the number's first place in the text
-    at = F.instr(F.col("_t"), F.col("raw"))
+    d = df.select(key, F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)).alias("_raw"), F.split(text, NUMBER, -1).alias("_rest"))
+    # the context is cut from the texts between the numbers; twelve characters hold at most twelve numbers
+    ends = lambda cut: F.zip_with("_rest", "_raw", lambda t, r: F.concat(cut(t, F.lit(12)), F.coalesce(r, F.lit(""))))
+    d = d.select(key, "_raw", "_rest", ends(F.right).alias("_before"), ends(F.left).alias("_after"))
+    before = lambda i: F.concat(F.array_join(F.slice("_before", F.greatest(i - 11, F.lit(1)), F.least(i, F.lit(12))), ""), F.right(F.get("_rest", i), F.lit(12)))
+    after = lambda i: F.array_join(F.slice("_after", i + 2, F.lit(13)), "")
+    near = lambda r, i: F.concat(F.right(before(i), F.lit(12)), r, F.left(after(i), F.lit(12)))
+    d = d.select(key, F.posexplode(F.transform("_raw", lambda r, i: F.struct(r.alias("raw"), near(r, i).alias("near")))).alias("i", "_n")).select(key, "i", "_n.raw", "_n.near")
     d = d.withColumn("num", F.regexp_extract("raw", r"\d+(?:\.\d+)?", 0)).withColumn("unit", F.regexp_extract("raw", NUMBER, 2))
-    near = F.substring("_t", F.greatest(at - 12, F.lit(1)), F.length("raw") + 24)
-    d = d.where(~((F.col("unit") == "") & F.regexp_like(near, F.lit(SKIP))))
+    d = d.where(~((F.col("unit") == "") & F.regexp_like("near", F.lit(SKIP))))
     return d.select(key, "i", F.trim("raw").alias("raw"), F.col("num").cast("double").alias("value"), unit_kind(F.col("unit")).alias("kind"))
 
 

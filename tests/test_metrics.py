@@ -416,6 +416,14 @@ def test_json_leaves(spark):
     assert {(r["label"], r["value"]) for r in W.flatten_json(df, "id", "doc").collect()} == {("a.b", 1.5), ("a.c.0", 2.0)}
 
 
+def test_deep_facts_are_kept(spark):
+    deep = '{"a": ' * 9 + "[7, [[8]]]" + "}" * 9
+    df = spark.createDataFrame([(1, deep), (2, '{"b": 1}'), (3, "{}"), (4, None)], "id long, doc string")
+    path = ".".join("a" * 9)
+    assert {tuple(r) for r in W.flatten_json(df, "id", "doc").collect()} == {(1, f"{path}.0", 7.0), (1, f"{path}.1.0.0", 8.0), (2, "b", 1.0)}
+    assert W.flatten_json(df.limit(0), "id", "doc").count() == 0
+
+
 def test_empty_inputs_give_typed_empty_outputs(spark):
     p, b, s, d = pos(spark, []), ball(spark, []), spark.createDataFrame([], POSS), spark.createDataFrame([], DIRS)
     for out in (S.frame_shapes(p), O.assign_possession(b, p), O.smooth_possession(b, p), O.turnovers(s, b), M.overload(b, s, p), M.line_breaks(M.line_gap(b, s, p, d)), M.lane_occupation(p, d), T.build_tracks(p), M.set_pieces(b), M.four_phases(s)):

@@ -54,18 +54,19 @@ def audit(checked: DataFrame, *keys: str) -> DataFrame:
     return checked.groupBy(*keys).agg(F.count("*").alias("n_numbers"), F.count(F.when(b, 1)).alias("n_backed"), F.count(F.when(~b, 1)).alias("n_unbacked"))
 
 
-def flatten_json(df: DataFrame, key: str, doc: str, *, depth: int = 6) -> DataFrame:
-    """(key, label, value): numeric leaves of nested JSON objects with dotted paths."""
+def flatten_json(df: DataFrame, key: str, doc: str) -> DataFrame:
+    """(key, label, value): numeric leaves of nested JSON objects with dotted paths, level by level until no object or array is left."""
     level = df.select(F.col(key).alias("_key"), F.lit("").alias("label"), F.parse_json(doc).alias("v"))
     out = None
-    for _ in range(depth):
+    while True:
         kind = F.schema_of_variant("v")
         leaf = level.where(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")).select(F.col("_key").alias(key), "label", F.expr("try_variant_get(v, '$', 'double')").alias("value"))
         out = leaf if out is None else out.union(leaf)
         inner = level.where(kind.rlike("^(OBJECT|ARRAY)"))
+        if inner.isEmpty():
+            return out
         step = "SELECT _key, concat_ws('.', nullif(label, ''), coalesce(t.key, cast(t.pos AS string))) AS label, t.value AS v FROM {inner}, LATERAL variant_explode(v) AS t"
         level = df.sparkSession.sql(step, inner=inner)
-    return out
 
 
 def gate(coverage: Column, recall: Column, spread: Column | None = None) -> Column:

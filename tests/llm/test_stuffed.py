@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from trackloom.llm import stuffed as S
 from trackloom.llm.stuffed import stuffed_pages
 
 NAMES = ["Alder", "Birch", "Cedar", "Dogwood", "Elm", "Fir"]
@@ -24,6 +27,8 @@ def pages():
         302: text(5) + "\nOh Alder, Alder, we follow you down the road!\nOh Alder, Alder, we follow you down the road!\n" + text(2),
         303: text(6) + "\n\nReferences\n" + "\n".join(f"[{i}] Elm, notes, https://archive.example/{i}" for i in range(1, 6)),
         304: "Match off.", 305: "", 306: "  \n ", 307: None,
+        309: "\n\n".join(["Alder", "Birch", "Cedar", "Dogwood", "Elm", "Fir", "Gum", "Hazel", "Ivy", "Juniper", "Larch"]) + "\n\n" + text(2),
+        310: "昨日の試合は雨で中止になった。選手は駅から歩いて市場へ行った。橋の近くで新しい工場が建てられている。" + text(1),
         308: text(8) + "\n\ncheap boots | cheap boots | cheap boots",
     }
     bad = {
@@ -33,6 +38,12 @@ def pages():
         403: ", ".join(f"scarf in {rng.choice(NAMES)}ton" for _ in range(40)),
         404: " ".join(f"#buy{n}Scarf #new{n}Boots" for n in NAMES * 3),
         405: " ".join(f"Every cheap {n} scarf here beats any other cheap {n} scarf because this cheap {n} scarf is a real cheap {n} scarf." for n in NAMES),
+        407: "\n".join(f"{i}. {rng.choice(NAMES)} scarf - http://www.shop{i}.example/scarf/{i}" for i in range(1, 21)),
+        408: "\n".join(f"[{i}] http://www.shop{i}.example/scarf/{i}" for i in range(1, 21)),
+        409: "\n\n".join(f"http://www.shop{i}.example/scarf/{i}" for i in range(20)),
+        410: "\n".join(f"{i}. cheap river boots, cheap new boots" for i in range(1, 15)),
+        411: "便宜 球鞋 / 便宜 新 球鞋 / 球鞋 便宜 / " * 12,
+        412: "便宜球鞋便宜新球鞋" * 12,
         406: text(2) + "\n\n" + " | ".join(["best kit sale", "new kit sale"] * 40),
     }
     return good, bad
@@ -47,3 +58,27 @@ def test_kinds_of_pages(spark):
 
 def test_empty(spark):
     assert stuffed_pages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_perplexity_decides():
+    good, bad = pages()
+    raw = [t.encode() if t is not None else None for t in (good | bad).values()]
+    p = S.read([S.readable(t) for t in raw], S.Lexicon())
+    counts = np.bincount(S.trigrams(p)[S.prose(S.measure(p))[p.sentence]], minlength=S.K**3).astype(float)
+    model = S.Model.of(counts)
+    flagged = lambda m: {i for i, x in zip(good | bad, S.judge(raw, [""] * len(raw), m, S.Lexicon())[2], strict=True) if x > 0.5}
+    assert flagged(model) == set(bad)
+    tells_nothing = S.Model({}, np.zeros_like(model.surprise), np.zeros(1), np.ones(1))
+    assert flagged(tells_nothing) == set()
+    as_usual = S.Model({}, np.full_like(model.surprise, model.mean[0]), model.mean, model.variance)
+    assert flagged(as_usual) == set()
+
+
+def test_languages_have_their_own_prose(spark, monkeypatch):
+    monkeypatch.setattr(S, "ENOUGH", 50)
+    good, bad = pages()
+    rows = [(i, t, lang) for lang in ("EN", "en ", None) for i, t in (good | bad).items()]
+    model = S.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("doc_id", "cast(text as binary) text", "coalesce(lower(trim(lang)), '') lang").where("text is not null"))
+    assert set(model.langs) == {"", "en"} and (model.mean > 0).all()
+    out = stuffed_pages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), lang="lang")
+    assert sorted(r["doc_id"] for r in out.select("doc_id").distinct().collect()) == sorted(bad)

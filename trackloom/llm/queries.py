@@ -39,7 +39,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return stuffed_pages(table(spark, sf, "documents")).select("doc_id").distinct()
+    return stuffed_pages(table(spark, sf, "documents"), lang="lang").select("doc_id").distinct()
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}

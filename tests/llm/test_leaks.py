@@ -106,7 +106,7 @@ def some_passage(item, doc):
             for j, x in enumerate(doc, 1):
                 new.append(min(row[j - 1] + (x != w), row[j] + 1, new[j - 1] + 1))
             row = new
-            if s >= need and min(row) <= max(1, round(L.ERRORS * s)):
+            if s >= need and min(row) <= round(L.ERRORS * s):
                 return True
     return False
 
@@ -123,3 +123,36 @@ def test_verdict_equals_edit_distances():
         docs.append(["f"] * rng.randrange(6) + piece + ["f"] * rng.randrange(6))
     want = {(d, d % 4) for d in range(80) if some_passage(items[d % 4], docs[d])}
     assert 20 < len(want) < 75 and pairs_in(items, docs) == want
+
+
+def wrong(rng, item, errors, n):
+    """The item with some words changed, dropped or followed by another one, never the first or the last."""
+    out = list(item)
+    for at in sorted(rng.sample(range(1, n - 1), errors), reverse=True):
+        kind = rng.randrange(3)
+        out[at : at + 1] = [f"c{at}"] if kind == 0 else [] if kind == 1 else [out[at], f"a{at}"]
+    return out
+
+
+def test_recall_by_length_and_errors():
+    rng = random.Random(7)
+    lost = {}
+    for n in [*range(2, 24), 30, 39, 60, 120]:
+        for errors in range(round(L.ERRORS * min(n, 39)) + 1):
+            if n - 2 < errors:
+                continue
+            items = [[rng.choice(VOCAB) for _ in range(n)] for _ in range(30)]
+            docs = [["f"] * rng.randrange(5) + wrong(rng, w, errors, n) + ["f"] * rng.randrange(5) for w in items]
+            got = pairs_in(items, docs)
+            want = {(d, d) for d, (x, w) in enumerate(zip(docs, items, strict=True)) if some_passage(w, x)}
+            assert len(want) == 30
+            lost[n, errors] = len(want - got)
+    assert max(lost.values()) == 0, {k: v for k, v in lost.items() if v}
+
+
+def test_hot_seed_shared_by_many_items(monkeypatch):
+    monkeypatch.setattr(L, "HELD", 50)
+    start = [f"s{k}" for k in range(20)]
+    items = [start + [f"i{k}_{j}" for j in range(20)] for k in range(40)]
+    docs = [["f"] * 3 + start + ["f"], start[:12] + items[5][26:40] + ["f"], items[7][15:40]]
+    assert pairs_in(items, docs) == {(0, k) for k in range(40)} | {(2, 7)}

@@ -7,8 +7,13 @@ the exact alignment is worth while, and a banded local alignment measures the pa
 grown through loose text, has too many errors, the farthest words that few errors reach either way from each
 run of equal words tell whether some stretch of it is a passage nevertheless.
 
-Items are the small side: they are read in blocks of at most ``BLOCK_WORDS`` words, one pass over the
-documents each, so the table sent to the executors has a fixed bound whatever the number of items.
+Any passage of 20 words within the error bound holds six equal words in a row, which every mask finds.  Items of
+under 20 words may hold less: those of five to nine words are also hashed without each one of their words, those of 13
+and 14 by four words, so that every passage within the bound has a seed whatever the item's length.
+
+Items are the small side, a stated query set: they are read in blocks of at most ``BLOCK_WORDS`` words, one pass over
+the documents each.  A block's result is written before the next block is read, so the driver and the executors hold
+the table of one block whatever the number of items.
 """
 
 from __future__ import annotations
@@ -22,10 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.words import Joiner, compounds, words
+from trackloom.plans.cut import cut
 
 #: 1 counts, 0 is ignored.
 MASKS = ("11111", "110111", "111011", "1101011")
 WEIGHT = 5
+#: Lengths of items that one error may leave without WEIGHT equal words in a row, and those that two may.
+ONE, TWO = range(5, 10), (13, 14)
+#: Hits held at a time.
+HELD = 2_000_000
 BLOCK_WORDS = 500_000
 #: A passage has at least this many of an item's words, or the whole item if it is shorter.
 PASSAGE = 20
@@ -61,7 +71,7 @@ class Items:
     starts: np.ndarray
     flat: np.ndarray
     vocabulary: dict[str, int]
-    seeds: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    seeds: list[tuple[list[str], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
     joined: Joiner
 
     @staticmethod
@@ -78,42 +88,67 @@ class Items:
         for k, c in enumerate(coded):
             flat[starts[k] : starts[k] + len(c)] = c
             owner[starts[k] : starts[k] + len(c)] = k
-        short = sorted({int(n) for n in lengths if n < WEIGHT})
-        seeds = {}
-        for mask in [*MASKS, *("1" * n for n in short)]:
-            at = [j for j, c in enumerate(mask) if c == "1"]
-            n = len(flat) - len(mask) + 1
-            if n <= 0:
-                continue
-            h, ok = _hash(flat, at, n)
-            if len(mask) < WEIGHT:
-                ok &= (owner[:n] >= 0) & (lengths[np.maximum(owner[:n], 0)] == len(mask))
-            pos = np.flatnonzero(ok)
-            pos = pos[np.argsort(h[pos], kind="stable")]
-            table = np.zeros(1 << _BITS, bool)
-            table[(h[pos] >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            seeds[mask] = (h[pos], owner[pos], pos - starts[owner[pos]], np.packbits(table))
+        seeds = []
+
+        def add(doc_masks: list[str], at: list[list[int]], whole: set[int] | None = None, anywhere: bool = True) -> None:
+            """Seeds of the item words at each of some lists of offsets, of all items or those of some lengths, looked up by the words under the documents' masks."""
+            found = []
+            for offsets in at:
+                n = len(flat) - max(offsets)
+                if n <= 0:
+                    continue
+                h, ok = _hash(flat, offsets, n)
+                if whole is not None:
+                    ok &= (owner[:n] >= 0) & np.isin(lengths[np.maximum(owner[:n], 0)], list(whole))
+                if not anywhere:
+                    ok &= np.arange(n) == starts[np.maximum(owner[:n], 0)]
+                pos = np.flatnonzero(ok)
+                found.append((h[pos], pos + offsets[0]))
+            if sum(len(h) for h, _ in found):
+                h, pos = (np.concatenate(v) for v in zip(*found, strict=True))
+                order = np.argsort(h, kind="stable")
+                h, pos = h[order], pos[order]
+                table = np.zeros(1 << _BITS, bool)
+                table[(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+                seeds.append((doc_masks, (h, owner[pos], pos - starts[owner[pos]], np.packbits(table))))
+
+        hole = lambda n: ["1" * k + "0" + "1" * (n - 1 - k) for k in range(1, n - 1)]
+        for mask in MASKS:
+            add([mask], [_under(mask)])
+        have = {int(n) for n in lengths}
+        for n in sorted(have):
+            if n < WEIGHT:
+                add(["1" * n], [list(range(n))], {n}, False)
+            elif n in ONE:
+                add(["1" * (n - 1), *hole(n)], [[j for j in range(n) if j != k] for k in range(n)], {n}, False)
+                add(hole(n + 1), [list(range(n))], {n}, False)
+        if have & set(TWO):
+            add(["1111"], [[0, 1, 2, 3]], have & set(TWO))
         return Items(np.array([i for i, _ in rows], np.int64), lengths, starts, flat, vocabulary, seeds, joined)
 
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Every (word position, item, item position) whose windows share a hash."""
-        d, k, p = [], [], []
-        for mask, (hs, owner, pos, bits) in self.seeds.items():
-            n = len(ids) - len(mask) + 1
-            if n <= 0:
-                continue
-            h, ok = _hash(ids, [j for j, c in enumerate(mask) if c == "1"], n)
-            at = np.flatnonzero(ok)
-            slot = (h[at] >> np.uint64(64 - _BITS)).astype(np.int64)
-            at = at[(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]
-            lo, hi = np.searchsorted(hs, h[at], "left"), np.searchsorted(hs, h[at], "right")
-            count = hi - lo
-            rep = np.repeat(np.arange(len(at)), count)
-            which = np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count) + lo[rep]
-            d.append(at[rep])
-            k.append(owner[which])
-            p.append(pos[which])
-        return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (d, k, p))
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Every (word position, item, item position) whose windows share a hash, about HELD at a time."""
+        for masks, (hs, owner, pos, bits) in self.seeds:
+            for mask in masks:
+                n = len(ids) - len(mask) + 1
+                if n <= 0:
+                    continue
+                h, ok = _hash(ids, _under(mask), n)
+                at = np.flatnonzero(ok)
+                slot = (h[at] >> np.uint64(64 - _BITS)).astype(np.int64)
+                at = at[(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]
+                lo, hi = np.searchsorted(hs, h[at], "left"), np.searchsorted(hs, h[at], "right")
+                upto = np.cumsum(hi - lo)
+                for a in range(0, int(upto[-1]) if len(at) else 0, HELD):
+                    z = slice(np.searchsorted(upto, a, "right"), np.searchsorted(upto, a + HELD, "left") + 1)
+                    count = hi[z] - lo[z]
+                    rep = np.repeat(np.arange(len(count)), count)
+                    which = np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count) + lo[z][rep]
+                    yield at[z][rep], owner[which], pos[which]
+
+
+def _under(mask: str) -> list[int]:
+    return [j for j, c in enumerate(mask) if c == "1"]
 
 
 def _promising(items: Items, ids: np.ndarray, d: np.ndarray, k: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -181,7 +216,7 @@ def leaks(span: int, equal: int, errors: int, length: int) -> bool:
     need = min(PASSAGE, length)
     # an error in the first or last word of a passage is cut off by the alignment
     missing = max(0, need - span)
-    return missing <= 2 and errors + missing <= max(1, round(ERRORS * max(span, need)))
+    return missing <= 2 and errors + missing <= round(ERRORS * max(span, need))
 
 
 def _reached(doc: list[int], item: list[int], most: int) -> list[tuple[int, int]]:
@@ -230,14 +265,19 @@ def find_in(items: Items, docs: list[list[int]]) -> list[tuple[int, int, int, in
     if not n:
         return []
     ids, starts = np.concatenate(parts), np.array(starts, np.int64)
-    d, k, p = items.hits(ids)
-    if not len(d):
-        return []
     # one hit per item, diagonal and run of hits
-    longest = int(items.lengths.max())
-    key, first = np.unique((k.astype(np.int64) * (len(ids) + longest) + (d - p + longest)) * (longest + 1) + p, return_index=True)
-    first = first[np.diff(key, prepend=-2) > 1]
-    d, k, p = d[first], k[first], p[first]
+    longest = int(items.lengths.max()) if len(items.lengths) else 0
+
+    def runs(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        d, k, p = (np.concatenate(v) for v in zip(*parts, strict=True))
+        key, first = np.unique((k.astype(np.int64) * (len(ids) + longest) + (d - p + longest)) * (longest + 1) + p, return_index=True)
+        first = first[np.diff(key, prepend=-2) > 1]
+        return d[first], k[first], p[first]
+
+    hits = [runs([h]) for h in items.hits(ids) if len(h[0])]
+    if not hits:
+        return []
+    d, k, p = runs(hits)
     keep = np.zeros(len(d), bool)
     for a in range(0, len(d), 50_000):
         z = slice(a, a + 50_000)
@@ -307,10 +347,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     """
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).where("doc_id is not null and text is not null")
     kind = "doc_id long, item_id long, span int, equal int, errors int"
-    found = None
+    found, last = None, None
     for block, parts in blocks_of(items, item_id, text):
-        part = docs.mapInArrow(_search(Items.build(block, parts), every), kind)
-        found = part if found is None else found.union(part)
-    if found is None:
+        if last is not None:
+            last = cut(last)
+            found = last if found is None else found.union(last)
+        last = docs.mapInArrow(_search(Items.build(block, parts), every), kind)
+    if last is None:
         return documents.sparkSession.createDataFrame([], kind)
-    return found.distinct()
+    return (last if found is None else found.union(last)).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +22,14 @@ def _grid(spark: SparkSession, sf: str, only_missing: bool) -> dict[str, DataFra
     ghosts = table(spark, sf, "ghosts").select("match_id", "chunk", "tid", "frame", "tsls")
     starts = table(spark, sf, "fragments").select("match_id", "chunk", F.lit(-1).cast("long").alias("tid"), "start_frame", F.col("n").cast("double").alias("n"), F.lit(1.0).alias("one"))
     keys = ["match_id", "chunk", "tid"]
-    return {
-        "ball": regular_grid(ball, keys, "frame", ["x", "y"], 25, only_missing=only_missing),
-        "tsls": regular_grid(ghosts, keys, "frame", ["tsls"], 50, only_missing=only_missing),
-        "starts": regular_grid(starts, keys, "start_frame", ["one"], 250, only_missing=only_missing),
+    made = {
+        "ball": lambda: regular_grid(ball, keys, "frame", ["x", "y"], 25, only_missing=only_missing),
+        "tsls": lambda: regular_grid(ghosts, keys, "frame", ["tsls"], 50, only_missing=only_missing),
+        "starts": lambda: regular_grid(starts, keys, "start_frame", ["one"], 250, only_missing=only_missing),
     }
+    # the rounds of one series leave executors idle that the others can use
+    with ThreadPoolExecutor(len(made)) as pool:
+        return dict(zip(made, pool.map(lambda f: f(), made.values()), strict=True))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,6 +37,12 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+def p4_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Every period of the three series with its state and values."""
+    parts = [g.select(F.lit(n).alias("series"), "match_id", "chunk", "tid", "period", "state", F.array(*g.columns[5:]).alias("value")) for n, g in _grid(spark, sf, False).items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "fragments").where("role is not null").withColumn("entity", F.concat("role", F.lit(":"), F.col("team").cast("string")))
     e = table(spark, sf, "reappearances").withColumn("entity", F.col("slot").cast("string"))
@@ -124,5 +135,5 @@ SELECT series, 'span' AS kind, match_id, chunk, entity, f0, f1 FROM q
 UNION ALL SELECT series, 'gap', match_id, chunk, entity, f1 + 1, nxt - 1 FROM q WHERE nxt IS NOT NULL
 """
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found}
 SQL = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}

@@ -20,8 +20,8 @@ def brute(rows):
     return out
 
 
-def run(spark, rows, block):
-    df = merge_intervals(spark.createDataFrame(rows, SCHEMA), ["team"], "s", "e", block=block)
+def run(spark, rows, block, **kw):
+    df = merge_intervals(spark.createDataFrame(rows, SCHEMA), ["team"], "s", "e", block=block, **kw)
     got = [tuple(r) for r in df.collect()]
     assert len(got) == len(set(got))
     return set(got)
@@ -29,7 +29,7 @@ def run(spark, rows, block):
 
 def test_random_intervals_match_brute_force(spark):
     rng = random.Random(5)
-    for block in (3, 16, 4096):
+    for block in (3, 4096):
         rows = []
         for _ in range(400):
             s = rng.randrange(-300, 900)
@@ -42,3 +42,9 @@ def test_random_intervals_match_brute_force(spark):
 def test_touching_nested_tied_and_empty(spark):
     assert run(spark, [("a", 0, 4, "", 0), ("a", 5, 9, "", 0), ("a", 1, 2, "", 0), ("a", 11, 11, "", 0)], 4) == {("a", "span", 0, 9), ("a", "gap", 10, 10), ("a", "span", 11, 11)}
     assert run(spark, [], 4) == set()
+
+
+def test_one_entity_over_many_levels(spark):
+    rng = random.Random(6)
+    rows = [("a", s * 7, s * 7 + rng.choice([0, 2, 6, 9, 40 if rng.random() < 0.1 else 3]), "", 0) for s in rng.sample(range(600), 300)]
+    assert run(spark, rows, 1, fan=8) == brute(rows)

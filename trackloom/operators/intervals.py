@@ -1,23 +1,26 @@
 """Merging overlapping intervals into periods and listing the gaps between them.
 
-The mergeable state is a sorted list of disjoint intervals.  Leaves of the reduction tree are blocks of
-start values, so a list never holds more than ``block`` entries however many rows its entity has; lists
-are built by one linear merge.  The upper part of the tree works on one row per block: the furthest end
-of all earlier blocks is carried into each block, which absorbs the intervals it reaches and leaves the
-periods that begin there.  Gaps are the complement.
+The mergeable state is a sorted list of disjoint intervals, kept as rows.  Leaves of the reduction tree are blocks of start
+values; a leaf is merged by one linear pass.  Only the furthest end of a block goes up the tree: levels of ``FAN`` blocks
+are added until no entity has more than ``FAN`` rows at the top, and the furthest end of everything before comes back down
+to each block, which drops the intervals it reaches.  What is left are the starts of the periods; the complement of the
+lists are the gaps, and a period ends where everything before the next start does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from trackloom.plans.cut import cut
+from trackloom.plans.joins import null_safe_join
 
+BLOCK, FAN = 4096, 4096
 
-def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, *, block: int = BLOCK) -> DataFrame:
+
+def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, *, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """(keys, kind, f0, f1): kind 'span' for maximal covered periods, 'gap' for the holes between spans of one entity.
 
     Both ends belong to an interval; one that starts right after another's end continues it.  Intervals with
@@ -26,39 +29,46 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, *,
     """
     ks = [f"k{i}" for i in range(len(keys))]
     rows = df.select(*(F.col(k).alias(a) for k, a in zip(keys, ks, strict=True)), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("s <= e")
-    rows = rows.groupBy(*ks, "s").agg(F.max("e").alias("e"))
-    rows = rows.withColumn("b", F.expr(f"(s - pmod(s, {block}L)) div {block}L"))
-    return _emit(_leaves(rows, ks), keys, ks)
+    rows = rows.groupBy(*ks, "s").agg(F.max("e").alias("e")).withColumn("b", _above("s", block))
+    leaf = cut(_leaves(rows, ks))
+    before = _from_others(leaf.groupBy(*ks, "b").agg(F.max("e").alias("v")), ks, F.max, fan, earlier=True)
+    # everything before an interval ends at the furthest end of the earlier blocks or at the interval before it in its block
+    reach = null_safe_join(leaf, before, [*ks, "b"], "left").withColumn("reach", F.greatest("v", "p"))
+    starts = cut(reach.where("reach is null or s - 1 > reach").select(*ks, "b", "s", "reach"))
+    after = _from_others(starts.groupBy(*ks, "b").agg(F.min("reach").alias("v")).where("v is not null"), ks, F.min, fan, earlier=False, every=starts.select(*ks, "b").distinct())
+    inside = Window.partitionBy(*ks, "b").orderBy("s")
+    ends = null_safe_join(starts, after, [*ks, "b"], "left").withColumn("e", F.coalesce(F.lead("reach").over(inside), "v"))
+    # the last period of an entity ends where the entity does
+    last = null_safe_join(starts.groupBy(*ks).agg(F.max("s").alias("s")), leaf.groupBy(*ks).agg(F.max("e").alias("e")), ks)
+    spans = ends.where("e is not null").select(*ks, F.lit("span").alias("kind"), F.col("s").alias("f0"), F.col("e").alias("f1"))
+    spans = spans.unionByName(last.select(*ks, F.lit("span").alias("kind"), F.col("s").alias("f0"), F.col("e").alias("f1")))
+    gaps = starts.where("reach is not null").select(*ks, F.lit("gap").alias("kind"), (F.col("reach") + 1).alias("f0"), (F.col("s") - 1).alias("f1"))
+    out = spans.unionByName(gaps)
+    return out.select(*(F.col(a).alias(k) for k, a in zip(keys, ks, strict=True)), "kind", "f0", "f1")
+
+
+def _above(c: str, block: int) -> Column:
+    return F.expr(f"({c} - pmod({c}, {block}L)) div {block}L")
 
 
 def _leaves(rows: DataFrame, ks: Sequence[str]) -> DataFrame:
-    """Flags the intervals of a block that no earlier start of the block reaches: its sorted disjoint list, one row each."""
+    """The sorted disjoint list of each block, one row an interval, with the end p of the interval before it."""
     inside = Window.partitionBy(*ks, "b").orderBy("s")
     rows = rows.withColumn("far", F.max("e").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    return rows.withColumn("new", F.col("far").isNull() | (F.col("s") - 1 > F.col("far"))).withColumn("n", F.sum(F.col("new").cast("int")).over(inside))
+    rows = rows.withColumn("n", F.sum((F.col("far").isNull() | (F.col("s") - 1 > F.col("far"))).cast("int")).over(inside))
+    return rows.groupBy(*ks, "b", "n").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("far", "s").alias("p"))
 
 
-def _emit(rows: DataFrame, keys: Sequence[str], ks: Sequence[str]) -> DataFrame:
-    leaf = rows.groupBy(*ks, "b", "n").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    lists = leaf.groupBy(*ks, "b").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("l"))
-    over = Window.partitionBy(*ks).orderBy("b")
-    lists = lists.withColumn("carry", F.max(F.element_at("l", -1)["e"]).over(over.rowsBetween(Window.unboundedPreceding, -1)))
-    # the carried end swallows a prefix of the block's list, step by step
-    swallow = F.expr("aggregate(l, named_struct('n', 0, 'c', carry), (a, x) -> CASE WHEN x.s - 1 <= a.c THEN named_struct('n', a.n + 1, 'c', greatest(a.c, x.e)) ELSE a END)")
-    lists = lists.withColumn("a", F.when(F.col("carry").isNull(), F.expr("named_struct('n', 0, 'c', carry)")).otherwise(swallow))
-    lists = lists.withColumn("l", F.expr("slice(l, a.n + 1, size(l))")).withColumn("reach", F.col("a.c"))
-    total = lists.withColumn("last", F.greatest("reach", F.element_at(F.expr("CASE WHEN size(l) > 0 THEN l END"), -1)["e"]))
-    # running furthest end up to and with this block: the end of the period still open after the last block
-    total = total.withColumn("open_end", F.max("last").over(Window.partitionBy(*ks)))
-    starts = total.where("size(l) > 0")
-    nxt = starts.withColumn("next_reach", F.lead("reach").over(over)).withColumn("next_start", F.lead(F.col("l")[0]["s"]).over(over))
-    end_last = F.coalesce("next_reach", "open_end")
-    spans = nxt.select(*ks, F.posexplode("l").alias("i", "x"), F.size("l").alias("m"), "l", end_last.alias("fin"), "next_start")
-    e = F.when(F.col("i") == F.col("m") - 1, F.col("fin")).otherwise(F.col("x.e"))
-    spans = spans.select(*ks, F.col("x.s").alias("s"), e.alias("e"), F.when(F.col("i") == F.col("m") - 1, F.col("next_start")).otherwise(F.expr("try_element_at(l, i + 2)")["s"]).alias("after"))
-    kinds = F.array(
-        F.struct(F.lit("span").alias("kind"), F.col("s").alias("f0"), F.col("e").alias("f1")),
-        F.struct(F.lit("gap").alias("kind"), (F.col("e") + 1).alias("f0"), (F.col("after") - 1).alias("f1")),
-    )
-    out = spans.select(*(F.col(a).alias(k) for k, a in zip(keys, ks, strict=True)), F.explode(kinds).alias("x"))
-    return out.select(*keys, "x.kind", "x.f0", "x.f1").where("f1 is not null")
+def _from_others(blocks: DataFrame, ks: Sequence[str], fold, fan: int, *, earlier: bool, every: DataFrame | None = None) -> DataFrame:
+    """(keys, b, v): ``fold`` of v over all earlier (later) blocks of the entity, for each block of ``every`` or ``blocks``."""
+    some = blocks if every is None else null_safe_join(every, blocks, [*ks, "b"], "left")
+    frame = (Window.unboundedPreceding, -1) if earlier else (1, Window.unboundedFollowing)
+    most = some.groupBy(*ks).count().agg(F.max("count")).first()[0] or 0
+    if most <= fan:
+        return some.withColumn("v", fold("v").over(Window.partitionBy(*ks).orderBy("b").rowsBetween(*frame))).where("v is not null")
+    some = cut(some.withColumn("up", _above("b", fan)))
+    mine = fold("v").over(Window.partitionBy(*ks, "up").orderBy("b").rowsBetween(*frame))
+    upper = _from_others(some.groupBy(*ks, F.col("up").alias("b")).agg(fold("v").alias("v")), ks, fold, fan, earlier=earlier).withColumnsRenamed({"b": "up", "v": "o"})
+    pick = F.greatest if earlier else F.least
+    both = null_safe_join(some.withColumn("v", mine), upper, [*ks, "up"], "left").withColumn("v", pick("v", "o"))
+    return both.where("v is not null").select(*ks, "b", "v")

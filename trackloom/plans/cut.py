@@ -15,7 +15,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if now:
         return now
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "trackloom-checkpoints"))
+    if sc.getConf().get("spark.cleaner.referenceTracking.cleanCheckpoints") is None:
+        # a checkpoint goes when its last user does
+        sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return sc.getCheckpointDir()
 
 

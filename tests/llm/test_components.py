@@ -2,6 +2,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from trackloom.llm import components as C
 from trackloom.llm.components import connected_components, group_records, vertex, vertex_number, vertex_text
 
 
@@ -38,6 +41,25 @@ def test_random_graphs_match_union_find(spark, bound):
     assert run(spark, edges, bound=bound) == brute(edges)
 
 
+def test_hub_and_graph_of_twenty_bounds_in_even_partitions(spark, monkeypatch):
+    rng, bound = random.Random(3), 500
+    edges = [(f"n{rng.randrange(5000):04d}", f"n{rng.randrange(5000):04d}") for _ in range(5000)] + [("a", f"q{i:05d}") for i in range(5000)]
+    levels, real = [], C.cut
+
+    def cut(df):
+        out = real(df)
+        if out.columns == ["node", "root"]:
+            sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            levels.append((sum(sizes), max(sizes, default=0)))
+        return out
+
+    monkeypatch.setattr(C, "cut", cut)
+    assert run(spark, edges, bound=bound) == brute(edges)
+    # after the first level, which keeps the input's partitions, no partition holds much more than its share, the hub's neighbours included
+    merging = levels[1 : next(i for i, (n, _) in enumerate(levels) if n <= bound)]
+    assert len(merging) > 2 and all(most <= 2 * bound for _, most in merging)
+
+
 def test_empty(spark):
     assert run(spark, []) == set()
 

@@ -1,11 +1,13 @@
 """Consolidating pairwise matches into groups.
 
 Edges are reduced to spanning forests inside bounded partitions, the forests are merged level by level
-until one bounded partition holds what is left.  A forest has fewer edges than vertices, so every level
-ships at most one edge per vertex and partition.  When the remaining forests are larger than one
-partition may hold and merging no longer shrinks them, vertices are contracted onto a random neighbour
-(plain aggregations and joins) and the merging goes on over the smaller graph; the contraction is undone
-at the end.  No task and no driver ever holds more than ``bound`` edges.
+until one bounded partition holds what is left.  A forest is kept as stars, one row for each vertex but the root, so
+a level that brings the rows of a vertex together gets at most one of each partition: vertices with very many
+neighbours, which are roots or spread over as many rows, never fill a partition.  Where several partitions saw a vertex,
+their forests are joined by it and shrink to one row a vertex.  A graph with more vertices than one partition may hold
+cannot shrink further that way: its vertices are contracted onto a random neighbour (plain aggregations and joins,
+whose skewed keys are split by adaptive execution) and the merging goes on over the smaller graph; the contraction is
+undone at the end.  No task and no driver ever holds more than ``bound`` edges.
 """
 
 from __future__ import annotations
@@ -123,7 +125,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", *, bound:
             undo.append(to)
             seed += 1
         parts = max(1, ceil(n / bound))
-        before, forest = n, cut(forest.repartition(parts, "root").mapInArrow(_forests(bound, False), _EDGES))
+        before, forest = n, cut(forest.repartition(parts, "node").mapInArrow(_forests(bound, False), _EDGES))
         n = forest.count()
     labels = forest.repartition(1).mapInArrow(_forests(bound, True), _EDGES)
     if not undo:

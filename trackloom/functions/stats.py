@@ -137,16 +137,21 @@ def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.try_divide(F.stddev_samp(value), F.avg(value)).alias("cv"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
 
 
-def block_bootstrap(df: DataFrame, block: str, value: str, *, replicates: int = 200, seed: int = 1) -> DataFrame:
-    """(replicate, mean): blocks drawn with replacement by Poisson weights from a hash, so every replicate is one aggregation."""
-    b = df.groupBy(block).agg(F.sum(value).alias("s"), F.count(value).alias("n")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), block, "replicate"), F.lit(1 << 30)) + 0.5) / (1 << 30)
+def poisson_weight(*columns: str | Column, steps: int = 14) -> Column:
+    """A weight of mean one drawn by a hash; ``steps`` cover the whole resolution of the draw."""
+    u = (F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) + 0.5) / (1 << 30)
     weight, cum, p = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(8):
+    for k in range(steps):
         cum += p
         weight = weight + (u > cum).cast("int")
         p /= k + 1
-    return b.withColumn("w", weight).groupBy("replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("mean"))
+    return weight
+
+
+def block_bootstrap(df: DataFrame, block: str, value: str, *, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """(replicate, mean): blocks drawn with replacement by Poisson weights from a hash, so every replicate is one aggregation."""
+    b = df.groupBy(block).agg(F.sum(value).alias("s"), F.count(value).alias("n")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return b.withColumn("w", poisson_weight(F.lit(seed), block, "replicate")).groupBy("replicate").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("mean"))
 
 
 def discordant(df: DataFrame, base: str, arm: str) -> DataFrame:
@@ -188,8 +193,6 @@ def first_unskilled(errors: DataFrame, bucket: str, ours: str, bar: str, block:
     """(bucket, gain, upper) of the first bucket whose bootstrap upper bound of our error minus the bar's is not below zero; no row if all are."""
     d = errors.withColumn("_g", F.col(ours) - F.col(bar))
     b = d.groupBy(bucket, block).agg(F.sum("_g").alias("s"), F.count("*").alias("n")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), block, "r"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    w = (u > 0.36787944117144233).cast("int") + (u > 0.7357588823428847).cast("int") + (u > 0.9196986029286058).cast("int") + (u > 0.9810118431238462).cast("int")
-    m = b.withColumn("w", w).groupBy(bucket, "r").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
+    m = b.withColumn("w", poisson_weight(F.lit(seed), block, "r")).groupBy(bucket, "r").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
     up = m.groupBy(bucket).agg(F.percentile("m", level).alias("upper"), F.avg("m").alias("gain")).where("upper >= 0")
     return up.agg(F.min(F.struct(F.col(bucket).alias("bucket"), "gain", "upper")).alias("x")).where("x IS NOT NULL").select("x.*")

@@ -69,7 +69,7 @@ def merge_chains(frags: list[dict], sims: list[tuple[float, int, int]], *, thres
 
 
 def greedy_merge(frags: DataFrame, sims: DataFrame, *, threshold: float = 0.9, fps: float = 25.0, top: float = 9.0, slack: float = 2.0) -> DataFrame:
-    """(seq, track_id, merged_id): fragments of a sequence, merged within the components their similar pairs form, one component to a task."""
+    """(seq, track_id, merged_id): fragments of a sequence, merged within the components their similar pairs form, one sequence's fragments and accepted pairs to a task."""
     good = sims.where(F.col("cosine") >= threshold)
     node = lambda c: F.struct("seq", F.col(c).alias("t"))
     ids = good.select(node("a").alias("x")).union(good.select(node("b").alias("x"))).distinct().select("x.seq", F.col("x.t").alias("track_id"))

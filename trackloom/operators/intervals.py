@@ -35,11 +35,12 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, *,
     # everything before an interval ends at the furthest end of the earlier blocks or at the interval before it in its block
     reach = null_safe_join(leaf, before, [*ks, "b"], "left").withColumn("reach", F.greatest("v", "p"))
     starts = cut(reach.where("reach is null or s - 1 > reach").select(*ks, "b", "s", "reach"))
-    after = _from_others(starts.groupBy(*ks, "b").agg(F.min("reach").alias("v")).where("v is not null"), ks, F.min, fan, earlier=False, every=starts.select(*ks, "b").distinct())
+    after = _from_others(starts.groupBy(*ks, "b").agg(F.min("reach").alias("v")), ks, F.min, fan, earlier=False)
     inside = Window.partitionBy(*ks, "b").orderBy("s")
     ends = null_safe_join(starts, after, [*ks, "b"], "left").withColumn("e", F.coalesce(F.lead("reach").over(inside), "v"))
     # the last period of an entity ends where the entity does
-    last = null_safe_join(starts.groupBy(*ks).agg(F.max("s").alias("s")), leaf.groupBy(*ks).agg(F.max("e").alias("e")), ks)
+    none = F.lit(None).cast("long")
+    last = starts.select(*ks, "s", none.alias("e")).unionByName(leaf.select(*ks, none.alias("s"), "e")).groupBy(*ks).agg(F.max("s").alias("s"), F.max("e").alias("e"))
     spans = ends.where("e is not null").select(*ks, F.lit("span").alias("kind"), F.col("s").alias("f0"), F.col("e").alias("f1"))
     spans = spans.unionByName(last.select(*ks, F.lit("span").alias("kind"), F.col("s").alias("f0"), F.col("e").alias("f1")))
     gaps = starts.where("reach is not null").select(*ks, F.lit("gap").alias("kind"), (F.col("reach") + 1).alias("f0"), (F.col("s") - 1).alias("f1"))
@@ -59,9 +60,8 @@ def _leaves(rows: DataFrame, ks: Sequence[str]) -> DataFrame:
     return rows.groupBy(*ks, "b", "n").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("far", "s").alias("p"))
 
 
-def _from_others(blocks: DataFrame, ks: Sequence[str], fold, fan: int, *, earlier: bool, every: DataFrame | None = None) -> DataFrame:
-    """(keys, b, v): ``fold`` of v over all earlier (later) blocks of the entity, for each block of ``every`` or ``blocks``."""
-    some = blocks if every is None else null_safe_join(every, blocks, [*ks, "b"], "left")
+def _from_others(some: DataFrame, ks: Sequence[str], fold, fan: int, *, earlier: bool) -> DataFrame:
+    """(keys, b, v): ``fold`` of v over all earlier (later) blocks of the entity, for each block that has any."""
     frame = (Window.unboundedPreceding, -1) if earlier else (1, Window.unboundedFollowing)
     most = some.groupBy(*ks).count().agg(F.max("count")).first()[0] or 0
     if most <= fan:

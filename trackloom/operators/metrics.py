@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import pitch as P
 from trackloom.operators.shape import PLAYERS
+from trackloom.plans.matches import kind
 from trackloom.plans.ordered import range_join, runs
 
 FRAME = ["chunk", "frame"]
@@ -134,7 +135,7 @@ def control_cells(tracks: DataFrame, *, nx: int = 21, ny: int = 14, sigma: float
                 cols = [part.column(c).take(pa.array(np.repeat(np.arange(n), len(gx)))) for c in FRAME]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(np.tile(gx, n)), pa.array(np.tile(gy, n)), pa.array((own / (all_ + 1e-9)).ravel())], [*FRAME, "gx", "gy", "control"])
 
-    return g.mapInArrow(run, "chunk long, frame long, gx double, gy double, control double")
+    return g.mapInArrow(run, f"{kind(g, 'chunk')}, frame long, gx double, gy double, control double")
 
 
 def space_control(cells: DataFrame, dirs: DataFrame) -> DataFrame:
@@ -223,6 +224,19 @@ def block_spells(frames: DataFrame, *, least: int = 5, low: float = 33.0, high:
     return g.withColumn("block_class", F.when(F.col("median_line_m") < low, "low").when(F.col("median_line_m") >= high, "high").otherwise("mid"))
 
 
+def block_summary(frames: DataFrame, spells: DataFrame) -> DataFrame:
+    """(def_team, frames, usable_frames, coverage, bias_m, line_m, vspread_m, ball_to_block_m, spells, low, mid, high): means over usable frames, and the classes' shares of the spells' usable frames.
+
+    bias_m is how much further up the ball is in usable frames than in the others.
+    """
+    use, not_ = (lambda c: F.avg(F.when(F.col("usable"), F.col(c)))), (lambda c: F.avg(F.when(~F.col("usable"), F.col(c))))
+    f = frames.groupBy("def_team").agg(
+        F.count("*").alias("frames"), F.count(F.when(F.col("usable"), 1)).alias("usable_frames"), F.avg(F.col("usable").cast("double")).alias("coverage"), (use("ball_adv_m") - not_("ball_adv_m")).alias("bias_m"),
+        *(use(c).alias(c) for c in ("line_m", "vspread_m", "ball_to_block_m")))
+    share = lambda c: F.try_divide(F.sum(F.when(F.col("block_class") == c, F.col("n_usable")).otherwise(0)), F.sum("n_usable")).alias(c)
+    return f.join(spells.groupBy("def_team").agg(F.count("*").alias("spells"), share("low"), share("mid"), share("high")), "def_team", "left")
+
+
 def score_states(points: DataFrame, goals: DataFrame, *, stoppage: float = 2700.0) -> DataFrame:
     """Points (match, half, t_s) with the goals of both sides so far: those of the first half count in the second, a goal at exactly t counts."""
     both = points.withColumn("_p", F.lit(1)).unionByName(goals.select("match", "half", "t_s", F.col("ours").cast("int").alias("ours"), F.lit(0).alias("_p")), allowMissingColumns=True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import pitch as P
 from trackloom.operators.association import hungarian
+from trackloom.plans.matches import kind
 from trackloom.plans.ordered import first_by, runs
 
 
@@ -115,35 +116,47 @@ def track_means(pos: DataFrame, dirs: DataFrame, *, least: int = 30) -> DataFram
     return g.where(F.col("n") >= least).withColumn("keeper", F.col("k") > 0.5).drop("k")
 
 
+#: Roles of the formations with their places in attack direction, in metres; fixed values.
+FORMATIONS = {
+    "4-3-3": "GK 5 34, LB 25 8, LCB 20 25, RCB 20 43, RB 25 60, LCM 45 20, CM 45 34, RCM 45 48, LW 75 12, ST 80 34, RW 75 56",
+    "4-2-3-1": "GK 5 34, LB 25 8, LCB 20 25, RCB 20 43, RB 25 60, LDM 40 26, RDM 40 42, LAM 62 14, CAM 64 34, RAM 62 54, ST 82 34",
+    "4-4-2": "GK 5 34, LB 25 8, LCB 20 25, RCB 20 43, RB 25 60, LM 50 10, LCM 48 28, RCM 48 40, RM 50 58, LST 78 27, RST 78 41",
+    "3-5-2": "GK 5 34, LCB 20 18, CB 18 34, RCB 20 50, LWB 50 6, LCM 45 24, CM 45 34, RCM 45 44, RWB 50 62, LST 78 28, RST 78 40",
+}
+
+
 def template(name: str) -> list[tuple[str, float, float]]:
-    """Slots of a formation like '4-3-3' in metres: keeper, then lines spread over the pitch."""
-    counts = [int(c) for c in name.split("-")]
-    slots = [("GK", 6.0, P.WIDTH / 2)]
-    for i, c in enumerate(counts):
-        x = 25.0 + 50.0 * i / (len(counts) - 1)
-        slots += [(f"L{i + 1}.{j + 1}", x, P.WIDTH * (j + 1) / (c + 1)) for j in range(c)]
-    return slots
+    return [(role, float(x), float(y)) for role, x, y in (slot.split() for slot in FORMATIONS[name].split(", "))]
+
+
+def role_number(team: int, role: str) -> int:
+    """The same number for a team's role everywhere: a hundred times the team, plus the role's place among all roles by name."""
+    return team * 100 + sorted({r for n in FORMATIONS for r, _, _ in template(n)}).index(role)
+
 
+def formations(means: DataFrame, names: tuple[str, ...] = tuple(FORMATIONS)) -> DataFrame:
+    """(chunk, team, track_id, slot, formation, cost): the most seen keeper is the keeper, the ten most seen others take the other roles of the cheapest template.
 
-def formations(means: DataFrame, names: tuple[str, ...] = ("4-3-3", "4-4-2", "3-5-2", "4-2-3-1")) -> DataFrame:
-    """(chunk, team, track_id, slot, formation, cost): the eleven most seen tracks matched to the cheapest template, the keeper to the keeper's slot."""
+    Without a keeper the eleven most seen tracks take all roles.  The cost is the mean distance without the keeper's; the first of equal templates wins.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "track_id"], ascending=[False, True]).head(11).reset_index(drop=True)
-        pts, keeper = pdf[["mx", "my"]].to_numpy(), pdf["keeper"].to_numpy()
+        pdf = pdf.sort_values(["n", "track_id"], ascending=[False, True]).reset_index(drop=True)
+        first = pdf.index[pdf["keeper"]][:1]
+        pool = pdf.drop(first).head(11 - len(first))
         best = None
         for name in names:
-            slots = template(name)
-            d = np.hypot(pts[:, None, 0] - np.array([s[1] for s in slots])[None], pts[:, None, 1] - np.array([s[2] for s in slots])[None])
-            d = d + 1000.0 * (keeper[:, None] != np.array([s[0] == "GK" for s in slots])[None])
-            pairs = hungarian(d)
-            cost = float(np.mean([d[i, j] for i, j in pairs]))
-            if best is None or (cost, name) < best[:2]:
-                best = (cost, name, [(i, slots[j][0]) for i, j in pairs])
-        cost, name, pairs = best
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[0], "team": pdf["team"].iloc[0], "track_id": [pdf["track_id"].iloc[i] for i, _ in pairs], "slot": [s for _, s in pairs], "formation": name, "cost": cost})
-
-    return means.groupBy("chunk", "team").applyInPandas(run, "chunk long, team int, track_id long, slot string, formation string, cost double")
+            slots = [s for s in template(name) if not len(first) or s[0] != "GK"]
+            d = np.hypot(*(pool[[c]].to_numpy() - np.array([s[i] for s in slots])[None] for c, i in (("mx", 1), ("my", 2))))
+            pairs = hungarian(d) if len(pool) else []
+            cost = float(np.mean([d[i, j] for i, j in pairs])) if pairs else 0.0
+            if best is None or cost < best[0]:
+                best = (cost, name, [(pool["track_id"].iloc[i], slots[j][0]) for i, j in pairs])
+        cost, name, picked = best
+        picked = [(pdf["track_id"].iloc[i], "GK") for i in first] + picked
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[0], "team": pdf["team"].iloc[0], "track_id": [t for t, _ in picked], "slot": [s for _, s in picked], "formation": name, "cost": cost})
+
+    return means.groupBy("chunk", "team").applyInPandas(run, f"{kind(means, 'chunk')}, team int, track_id long, slot string, formation string, cost double")
 
 
 def modal_formation(f: DataFrame) -> DataFrame:

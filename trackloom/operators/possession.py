@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import pitch as P
+from trackloom.plans.matches import kind
 from trackloom.plans.ordered import first_by, range_join, runs
 
 
@@ -73,7 +74,7 @@ def smooth_possession(ball: DataFrame, players: DataFrame, *, radius_m: float =
         out = pd.DataFrame({"chunk": pdf["chunk"], "frame": pdf["frame"], "carrier": pick("carrier0", "carrier1"), "team": state, "dist_m": pick("d0", "d1")})
         return out[(pdf["_own"] == pdf["part"]).to_numpy()].dropna(subset=["carrier"]).astype({"carrier": "int64", "team": "int32"})
 
-    return rows.groupBy("chunk", "part").applyInPandas(run, "chunk long, frame long, carrier long, team int, dist_m double")
+    return rows.groupBy("chunk", "part").applyInPandas(run, f"{kind(rows, 'chunk')}, frame long, carrier long, team int, dist_m double")
 
 
 def passes(poss: DataFrame, players: DataFrame, *, max_gap: int = 22) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import pitch as P
 from trackloom.operators.shape import PLAYERS
 from trackloom.plans.joins import null_safe_join
+from trackloom.plans.matches import kind
 from trackloom.plans.ordered import asof
 
 KEY = ["chunk", "track_id"]
@@ -133,7 +134,7 @@ def link_ball(detections: DataFrame, *, fps: float = 50.0, cap: float = 40.0, ma
         out.insert(0, "chunk", pdf["chunk"].iloc[0])
         return out
 
-    return d.groupBy("chunk", "part").applyInPandas(run, "chunk long, frame long, x double, y double, observed boolean")
+    return d.groupBy("chunk", "part").applyInPandas(run, f"{kind(d, 'chunk')}, frame long, x double, y double, observed boolean")
 
 
 def fill_gaps(path: DataFrame, *, step: int, max_gap: int) -> DataFrame:

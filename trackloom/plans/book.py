@@ -19,8 +19,10 @@ class Book:
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.sql: dict[str, str] = {}
+        self.makes: dict[str, Callable[[Tables], DataFrame]] = {}
 
     def add(self, name: str, make: Callable[[Tables], DataFrame], sql: str | None = None, *needs: str) -> None:
+        self.makes[name] = make
         self.queries[name] = lambda spark, sf: make(Tables(spark, sf))
         if sql:
             sql = sql.replace("R6(", "R6_(")

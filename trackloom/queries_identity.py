@@ -40,15 +40,24 @@ def _vecs(t):
 
 
 def _sims(t):
-    p = A.mergeable(_frags(t)).withColumns({"ka": F.col("a") % 100, "kb": F.col("b") % 100})
+    n = t.read("embeddings").count()
+    p = A.mergeable(_frags(t)).withColumns({"ka": F.col("a") % n, "kb": F.col("b") % n})
     v = lambda s: _vecs(t).select(F.col("track_id").alias(f"k{s}"), F.col("vec").alias(f"v{s}"))
     return p.join(v("a"), "ka").join(v("b"), "kb").select("seq", "a", "b", V.cosine("va", "vb").alias("cosine"))
 
 
 add("pair_cosines", lambda t: _sims(t).withColumn("cosine", r6("cosine")), _FR + """
-SELECT seq, a, b, R6(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))) AS cosine FROM mp JOIN embeddings x ON x.vec_id = a % 100 JOIN embeddings y ON y.vec_id = b % 100""")
+SELECT seq, a, b, R6(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))) AS cosine FROM mp JOIN embeddings x ON x.vec_id = a % (SELECT count(*) FROM embeddings) JOIN embeddings y ON y.vec_id = b % (SELECT count(*) FROM embeddings)""")
 add("greedy_merge", lambda t: A.greedy_merge(_frags(t), _sims(t), threshold=0.1))
-add("split_tracks", lambda t: A.split_tracks(_vecs(t).select((F.col("track_id") % 10).alias("track_id"), (F.col("label") * 1000 + F.col("track_id")).alias("frame"), "vec"), eps=0.9))
+
+
+def _mixed(t):
+    """Tracks of fifty vectors each, those of a label together in time and alike."""
+    like = F.concat("vec", F.array(*(F.when(F.col("label") == k, 3.0).otherwise(0.0) for k in range(10))))
+    return _vecs(t).select(F.floor(F.col("track_id") / 50).cast("long").alias("track_id"), (F.col("label") * 1000 + F.col("track_id")).cast("long").alias("frame"), like.alias("vec"))
+
+
+add("split_tracks", lambda t: A.split_tracks(_mixed(t)))
 add("apply_splits", lambda t: A.apply_splits(t.pos.select("chunk", "track_id", "frame"), t.spark.sql("SELECT id AS track_id, p AS part, CASE p WHEN 0 THEN -1000000 ELSE 700 * p + 1 END AS lo, CASE p WHEN 2 THEN 1000000 ELSE 700 * (p + 1) END AS hi FROM range(1, 9), LATERAL explode(array(0L, 1L, 2L)) AS e(p)")), """
 SELECT chunk, track_id, frame, CAST(CASE WHEN track_id > 8 THEN 0 WHEN frame <= 700 THEN 0 WHEN frame <= 1400 THEN 1 ELSE 2 END AS BIGINT) AS part FROM pos""", "pos")
 _GT = """WITH gt AS (SELECT chunk, frame, track_id % 5 AS gt, pitch_x, pitch_y FROM pl WHERE team = 1), d AS (SELECT p.chunk, p.frame, p.track_id, g.gt, sqrt((p.pitch_x - g.pitch_x) ** 2 + (p.pitch_y - g.pitch_y) ** 2) AS d FROM pl p JOIN gt g ON g.chunk = p.chunk AND g.frame = p.frame),

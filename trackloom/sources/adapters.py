@@ -68,6 +68,8 @@ def oracle(sql: str, *names: str) -> str:
         add(n)
     ctes = ",\n".join(f'"{n}" AS ({CTES[n]})' for n in CTES if n in want)
     sql = sql.strip()
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql[15:]}"
     return f"WITH {ctes}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {ctes}\n{sql}"
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from trackloom.plans.matches import kind
+
 
 def arriving(spark: SparkSession, folder: str, schema: StructType, *, per_trigger: int = 16) -> DataFrame:
     """Parquet files of a folder as they arrive, a bounded number to a batch."""
@@ -50,7 +52,7 @@ def possession_changes(stream: DataFrame) -> DataFrame:
         state.update((int(was),))
         yield pd.DataFrame(out, columns=["chunk", "frame", "lost_team", "won_team"])
 
-    return stream.groupBy("chunk").applyInPandasWithState(step, "chunk long, frame long, lost_team int, won_team int", "team int", "append", "NoTimeout")
+    return stream.groupBy("chunk").applyInPandasWithState(step, f"{kind(stream, 'chunk')}, frame long, lost_team int, won_team int", "team int", "append", "NoTimeout")
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, *, mode: str = "append") -> StreamingQuery:

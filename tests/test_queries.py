@@ -37,6 +37,9 @@ def duck():
 
 
 CORE = {k for m in entry.CORE for k in m.QUERIES}
+#: Queries without rows at the smallest scale, and those with a column that may be null throughout.
+EMPTY: set[str] = set()
+OPEN: set[str] = set()
 HEAVY = {"space_control", "controlled_threat"}
 
 
@@ -47,7 +50,9 @@ def test_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(k for k in entry.queries() if k in CORE and k not in entry.oracle_sql()))
 def test_runs_without_sql(spark, name):
-    assert entry.queries()[name](spark, FOLDER).limit(5).toPandas() is not None
+    got = entry.queries()[name](spark, FOLDER).toPandas()
+    assert len(got) or name in EMPTY
+    assert not got.isna().all().any() or name in EMPTY or name in OPEN
 
 
 def test_every_sql_has_a_query():

@@ -70,11 +70,11 @@ _TM = """WITH tm AS (SELECT pl.chunk, pl.team, track_id, avg(CASE WHEN dir > 0 T
 add("track_means", lambda t: N.track_means(t.pos, t.dirs).withColumns({c: r6(c) for c in ("mx", "my")}), _TM + "SELECT chunk, team, track_id, R6(mx) AS mx, R6(my) AS my, keeper, n FROM tm", "pl", "dirs")
 add("formations", lambda t: N.formations(N.track_means(t.pos, t.dirs)))
 add("modal_formation", lambda t: N.modal_formation(N.formations(N.track_means(t.pos, t.dirs))))
-add("sliced_embedding", lambda t: N.sliced_embedding(t.pos, t.dirs).select("chunk", "frame", "team", F.posexplode("emb").alias("i", "v")).select("chunk", "frame", "team", "i", r6("v").alias("v")), f"""
+add("sliced_embedding", lambda t: N.sliced_embedding(t.pos, t.dirs).select("chunk", "team", F.posexplode("emb").alias("i", "v")).groupBy("chunk", "team", "i").agg(F.count("*").alias("n"), F.avg("v").alias("v")).withColumn("v", r6("v")), f"""
 WITH p AS (SELECT pl.chunk, pl.frame, pl.team, CASE WHEN dir > 0 THEN pitch_x ELSE 105 - pitch_x END AS x, CASE WHEN dir > 0 THEN pitch_y ELSE 68 - pitch_y END AS y FROM pl JOIN dirs d ON d.chunk = pl.chunk AND d.team = pl.team),
 c AS (SELECT chunk, frame, team, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y FROM p WINDOW w AS (PARTITION BY chunk, frame, team)),
 q AS (SELECT chunk, frame, team, k, quantile_cont(x * cos(pi() * k / 24) + y * sin(pi() * k / 24), {[(i + 0.5) / 12 for i in range(12)]}) AS l FROM c, range(24) r(k) GROUP BY chunk, frame, team, k HAVING count(*) >= 4)
-SELECT chunk, frame, team, CAST(k * 12 + j AS INT) AS i, R6(l[j + 1]) AS v FROM q, range(12) s(j)""", "pl", "dirs")
+SELECT chunk, team, CAST(k * 12 + j AS INT) AS i, count(*) AS n, R6(avg(l[j + 1])) AS v FROM q, range(12) s(j) GROUP BY chunk, team, k, j""", "pl", "dirs")
 
 _LINES = """WITH o AS (SELECT pl.chunk, pl.frame, pl.team, CASE WHEN dir > 0 THEN pitch_x ELSE 105 - pitch_x END AS ax FROM pl JOIN dirs d ON d.chunk = pl.chunk AND d.team = pl.team WHERE role = 'player'),
 li AS (SELECT chunk, frame, team, count(*) AS n, avg(ax) FILTER (k <= 4) AS line FROM (SELECT *, row_number() OVER (PARTITION BY chunk, frame, team ORDER BY ax) AS k FROM o) GROUP BY ALL)

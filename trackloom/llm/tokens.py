@@ -39,6 +39,10 @@ def byte_letters() -> list[str]:
     return out
 
 
+#: Pairs of tokens a worker remembers.
+FITS = 1_000_000
+
+
 class Encoder:
     """Exact ids of texts; ``vocabulary``: path of the tokenizer's JSON file."""
 
@@ -95,6 +99,8 @@ class Encoder:
                         break
                 if not got:
                     break
+            if len(self.fits) >= FITS:
+                self.fits.clear()
             self.fits[left, right] = got
         return got
 

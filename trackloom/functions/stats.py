@@ -166,7 +166,9 @@ def signed_rank(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     r = average_rank(d, keys, "_m", "_r")
     n = F.count("*")
     g = r.groupBy(*keys).agg(n.alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.count(F.when(F.col("_d") > 0, 1)).alias("helped"), F.count(F.when(F.col("_d") < 0, 1)).alias("hurt"))
-    mean, var = F.col("n") * (F.col("n") + 1) / 4, F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24
+    # whole numbers of more than 1.6 million pairs would overflow
+    d = F.col("n").cast("double")
+    mean, var = d * (d + 1) / 4, d * (d + 1) * (2 * d + 1) / 24
     return g.select(*keys, "n", "w_plus", F.try_divide(F.col("w_plus") - mean, F.sqrt(var)).alias("z"), "helped", "hurt")
 
 

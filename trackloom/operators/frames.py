@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import pitch as P
 from trackloom.operators.shape import PLAYERS
+from trackloom.plans.matches import kind
 from trackloom.plans.ordered import first_by, range_join
 
 FRAME = ["chunk", "frame"]
@@ -175,10 +179,27 @@ def in_segments(points: DataFrame, segments: DataFrame, *, bucket: int = 500) ->
     return range_join(points, segments, ["chunk"], "frame", "f0", "f1", bucket, "left_semi")
 
 
+def _recalibrations(period: int):
+    """Batches of (chunk, frame, forced) in order, with the decision at each frame; only the last recalibration is carried along."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, since, began = None, None, False
+        for b in batches:
+            go = []
+            for chunk, frame, forced in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not began or (chunk != now and (chunk == chunk or now == now)):
+                    now, since, began = chunk, None, True
+                # forced may be unknown, as its drift may be
+                here = True if forced or since is None or frame - since >= period else forced
+                since = frame if here else since
+                go.append(here)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(go, pa.bool_())], ["chunk", "frame", "recalibrate"])
+
+    return run
+
+
 def camera_jobs(frames: DataFrame, *, period: int, drift: float) -> DataFrame:
     """(chunk, frame, recalibrate): when a period has passed since the last one, the drift is too large, or on a cut; the first frame always."""
-    g = frames.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("frame", "drift", "is_cut"))).alias("l"))
-    fold = f"""aggregate(l, named_struct('since', cast(null as bigint), 'o', cast(array() as array<struct<frame:bigint,go:boolean>>)),
-      (a, x) -> named_struct('since', IF(a.since IS NULL OR x.frame - a.since >= {period} OR x.drift > {drift}D OR x.is_cut, x.frame, a.since),
-        'o', array_append(a.o, named_struct('frame', x.frame, 'go', a.since IS NULL OR x.frame - a.since >= {period} OR x.drift > {drift}D OR x.is_cut))))"""
-    return g.select("chunk", F.explode(F.expr(fold)["o"]).alias("o")).select("chunk", "o.frame", F.col("o.go").alias("recalibrate"))
+    f = frames.select("chunk", F.col("frame").cast("long").alias("frame"), "drift", "is_cut").repartition("chunk").sortWithinPartitions("chunk", "frame", "drift", "is_cut")
+    f = f.select("chunk", "frame", ((F.col("drift") > drift) | F.col("is_cut")).alias("forced"))
+    return f.mapInArrow(_recalibrations(period), f"{kind(frames, 'chunk')}, frame long, recalibrate boolean")

@@ -13,6 +13,7 @@ from trackloom.operators import network as N
 from trackloom.operators import possession as O
 from trackloom.operators import profiles as R
 from trackloom.operators import shape as S
+from trackloom.operators import shapes as H
 from trackloom.operators import tracks as T
 from trackloom.plans.book import Book, r6
 
@@ -175,7 +176,7 @@ add("win_probability", lambda t: L.outcomes(L.fit_outcomes(_states(t)), _states(
 add("receiver_model", lambda t: R.top_k_rate((lambda c: L.scored(L.receiver_model(c, ["dist"]), c))(R.receiver_candidates(O.passes(t.poss, t.players), t.players)), F.desc("score"), "cand"))
 add("run_scores", lambda t: (lambda d: L.displacement_scores(L.ridge(d, ["speed", "cos_h", "sin_h"], "dx").transform(d).withColumnRenamed("prediction", "px").withColumn("py", F.lit(0.0)), "px", "py"))(L.run_features(T.build_tracks(t.pos), T.run_targets(T.build_tracks(t.pos), horizon=38, tolerance=5))))
 add("style_components", lambda t: L.components(_tend(t).withColumn("k", F.col("chunk") * 2 + F.col("team")), "k", ["width", "length"], 2)[0])
-add("shape_prototypes", lambda t: L.prototypes(N.sliced_embedding(t.pos, t.dirs), "emb", 8))
+add("shape_prototypes", lambda t: H.shape_prototypes(t.pos, t.dirs, 8))
 add("colour_teams", lambda t: L.colour_teams(t.pos.groupBy("chunk", "track_id").agg(F.avg("conf").alias("l"), F.avg("image_x").alias("a"), F.avg("image_y").alias("b"))))
 
 QUERIES, SQL = BOOK.queries, BOOK.sql

@@ -43,6 +43,16 @@ def test_contradictions_of_hot_tags_equal_all_pairs(spark):
             assert len(got) == len(set(got)) and set(got) == want, (ratio, overlap, block)
 
 
+def test_contradictions_shuffle_no_pairs_and_count_repeated_ids_once(spark):
+    rows = [(1, ["a", "b"], "confirmed", "m", 1.0, [], "the line stands high"), (2, ["b", "a"], "confirmed", "m", 9.0, [], "the line stands high"), (3, ["b"], "confirmed", "m", 9.0, [], "the line stands high")]
+    schema = "id long, tags array<string>, status string, unit string, value double, links array<long>, statement string"
+    want = [(1, 2, "number"), (1, 3, "number"), (2, 3, "statement")]
+    found = Q.contradictions(spark.createDataFrame(rows, schema))
+    assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == want
+    assert sorted(map(tuple, Q.contradictions(spark.createDataFrame(rows * 2, schema)).collect())) == want
+
+
 def test_contradictions_are_sought_over_single_tags(spark, tmp_path):
     parts = [(1, "old bolt", "A", "B1", 1), (6, "new ring", "A", "B2", 50), (9, "cold plate", "C", "B2", 2), (12, "blue cog", "D", "B9", 1)]
     spark.createDataFrame([(*p, 1.0) for p in parts], "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")

@@ -92,6 +92,36 @@ def test_the_forest_decides(spark, monkeypatch):
     assert found() == cases - spikes
 
 
+def test_no_draw_of_readings_decides(spark):
+    n = 4000
+    h = np.arange(n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    drawn = np.argsort((h ^ (h >> np.uint64(29))).astype(np.int64), kind="stable")[:1024]  # what the forest once came from
+    v = np.random.default_rng(2).normal(0.5, 0.01, n)
+    v[drawn] += 4.5
+    df = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v)], "s string, t long, c double")
+    off = np.abs(v - np.median(v))
+    assert set(np.flatnonzero(off > 12 * np.median(off))) == set(drawn)
+    for block in (8192, 512):
+        out = implausible(df, ["s"], "t", "t", [Field("err", "c", mad=12.0)], flagged=True, block=block)
+        assert {r["row_key"] for r in out.where("odd").collect()} == set(drawn)
+
+
+def test_the_model_of_parts_is_that_of_all_readings():
+    rng = np.random.default_rng(8)
+    for n, width in ((1, 7), (2, 8), (70, 7), (3000, 8)):
+        feat = np.abs(rng.lognormal(0, 1, (n, width))).astype(np.float32)
+        feat[:, : width - 6] = rng.normal(-3, 40, (n, width - 6))
+        feat[:, -1] = rng.integers(1, 3, n)
+        whole, s = M.Model.fit(feat)
+        parts = M.Model(width)
+        for _ in range(M.ROUNDS):
+            parts.tell(*M.Model.add([parts.ask(p) for p in np.array_split(feat, 5) if len(p)]))
+        assert (parts.usual == whole.usual).all() and (parts.center == whole.center).all() and (parts.spread == whole.spread).all()
+        assert parts.limit == whole.limit and parts.least == whole.least and (parts.score(feat) == s).all()
+        assert np.allclose(whole.usual, np.sort(feat[:, -6:-1], axis=0)[(n - 1) // 2], rtol=1 / 128)
+
+
 def test_forest_isolates_outliers():
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(0, 1, (500, 3)), [[9, 9, 9]]])

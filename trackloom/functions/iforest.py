@@ -3,15 +3,22 @@
 Features are coded into ``BINS`` equal steps over three times the range of the rows the forest is grown on.  A
 node also knows the range its own rows allow (their range, widened by itself on either side); a row outside it
 is isolated there.  So rows unlike all normal ones have short paths even where they are many.
+
+Every tree is grown on all rows.  A node needs only the counts of its rows by bin, and counts of parts add up, so
+rows may lie anywhere.  Sizes count in units of n / ``psi`` rows, and a node's range leaves out at either end the
+share by which the range of so many units falls short: paths and ranges do not grow with the number of rows.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 
 TREES, PSI, BINS = 16, 64, 64
+#: Rows the forest is grown on lie in the middle third of the bins: the first of them, and how many there are.
+FIRST, WIDTH = 20, 24
 
 
 class Forest(NamedTuple):
@@ -32,65 +39,119 @@ def _c(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(big - 1) + 0.5772156649) - 2 * (n - 1) / big, np.where(n == 2, 1.0, 0.0))
 
 
-def central_half(x: np.ndarray) -> np.ndarray:
-    """Places of the half of the rows that lie nearest to the medians, in median absolute deviations of the worst feature."""
-    off = np.abs(x - np.median(x, axis=0))
-    mad = np.median(off, axis=0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        far = np.where(off > 0, off / mad, 0.0).max(axis=1)
-    return np.sort(np.argsort(far, kind="stable")[: (len(x) + 1) // 2])
+@lru_cache(maxsize=PSI)
+def _paths(psi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of up to psi rows and their mean path lengths."""
+    return np.arange(psi + 1), _c(np.arange(psi + 1))
 
 
-def _bins(low: np.ndarray, step: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Bins 1 to BINS - 2 inside the acceptable range, 0 below and BINS - 1 above."""
-    return np.clip(np.floor((x - low) / step) + 1, 0, BINS - 1).astype(np.uint8)
-
-
-def grow(x: np.ndarray, *, trees: int = TREES, psi: int = PSI, seed: int = 7) -> Forest:
+@lru_cache(maxsize=PSI)
+def _chance(f: int, depth: int, trees: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tested feature and random number of each tree and node."""
     rng = np.random.default_rng(seed)
-    n, f = x.shape
-    lo, hi = x.min(axis=0), x.max(axis=0)
-    wide = np.where(hi > lo, hi - lo, 1e-9 * np.maximum(np.abs(hi), 1e-3))
-    low, step = lo - wide, 3 * wide / (BINS - 2)
-    code = _bins(low, step, x).astype(np.int64).ravel()
-    psi = min(psi, n)
-    path = _c(np.arange(psi + 1))
-    depth = max(1, int(np.ceil(np.log2(max(psi, 2)))))
     nodes = 2 ** (depth + 1) - 1
-    pick = (rng.integers(0, n, (trees, psi)) if n > psi else np.tile(np.arange(n), (trees, 1))).ravel() * f
     # each tree tests the features in turn, each of f trees from another one on, so that no feature is left to chance
     turns = np.concatenate([rng.permutation(f) for _ in range(-(-trees // f))])
     level = np.floor(np.log2(np.arange(nodes) + 1)).astype(np.int64)
     tree = np.arange(trees)[:, None]
-    feat = turns[np.minimum(tree // f * f, len(turns) - f) + (tree + level) % f].astype(np.int16)
-    r = rng.random((trees, nodes))
-    cutoff, least, most = np.zeros((trees, nodes), np.int16), np.zeros((trees, nodes), np.int16), np.full((trees, nodes), BINS - 1, np.int16)
-    length = np.full((trees, nodes), np.nan)
-    base = np.repeat(np.arange(trees) * nodes, psi)
-    pos = np.zeros(trees * psi, np.int64)
-    for level in range(depth + 1):
-        a, z = 2**level - 1, 2 ** (level + 1) - 1
-        at = base + pos
-        size = np.bincount(at, minlength=trees * nodes).reshape(trees, nodes)[:, a:z]
-        own = length[:, a:z]
-        if level == depth:
-            length[:, a:z] = np.where(np.isnan(own), level + path[size], own)
-            break
-        v = code[pick + feat.ravel()[at]]
-        lo, hi = np.full(trees * nodes, BINS), np.full(trees * nodes, -1)
-        np.minimum.at(lo, at, v)
-        np.maximum.at(hi, at, v)
-        lo, hi = lo.reshape(trees, nodes)[:, a:z], hi.reshape(trees, nodes)[:, a:z]
+    return turns[np.minimum(tree // f * f, len(turns) - f) + (tree + level) % f].astype(np.int16), rng.random((trees, nodes))
+
+
+def _bins(low: np.ndarray, step: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Bins 1 to BINS - 2 inside the acceptable range, 0 below and BINS - 1 above."""
+    return np.clip(np.floor((x - low) / step) + 1, 0, BINS - 1).astype(np.uint8)
+
+
+class Grower:
+    """A forest grown two levels at a time from the counts of its rows."""
+
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, n: int, *, trees: int = TREES, psi: int = PSI, seed: int = 7):
+        """lo, hi: least and greatest value of each feature of the n rows."""
+        lo, hi = np.asarray(lo, np.float64), np.asarray(hi, np.float64)
+        wide = np.where(hi > lo, hi - lo, 1e-9 * np.maximum(np.abs(hi), 1e-3))
+        self.low, self.step = lo - wide, 3 * wide / (BINS - 2)
+        self.n, self.psi, self.level = n, min(psi, n), 0
+        self.depth = max(1, int(np.ceil(np.log2(max(self.psi, 2)))))
+        nodes = 2 ** (self.depth + 1) - 1
+        self.feat, self.r = _chance(len(lo), self.depth, trees, seed)
+        self.cutoff, self.least, self.most = np.zeros((trees, nodes), np.int16), np.zeros((trees, nodes), np.int16), np.full((trees, nodes), BINS - 1, np.int16)
+        self.length = np.full((trees, nodes), np.nan)
+
+    def code(self, x: np.ndarray) -> np.ndarray:
+        """Bins of rows the forest is grown on, by feature and row."""
+        return np.ascontiguousarray(np.clip(_bins(self.low, self.step, x), FIRST, FIRST + WIDTH - 1).T)
+
+    def count(self, code: np.ndarray) -> np.ndarray:
+        """Rows by tree, node of this level, and bins of the features that this level and the next test."""
+        trees, nodes = self.feat.shape
+        at = np.zeros((trees, code.shape[1]), np.int32)
+        for k in range(self.level):
+            a = 2**k - 1
+            cut = self.cutoff.ravel().take(at + (np.arange(trees, dtype=np.int32) * nodes + a)[:, None])
+            at = 2 * at + (code[self.feat[:, a]] >= cut)
+        at += (np.arange(trees, dtype=np.int32) << self.level)[:, None]
+        for k in range(self.level, min(self.level + 2, self.depth)):
+            at = at * WIDTH + (code[self.feat[:, 2**k - 1]] - FIRST)
+        return np.bincount(at.ravel(), minlength=self.places)
+
+    @property
+    def places(self) -> int:
+        return (len(self.feat) << self.level) * WIDTH ** min(2, self.depth - self.level)
+
+    def split(self, count: np.ndarray) -> None:
+        """Grow the levels of ``count``, summed over all parts."""
+        trees = len(self.feat)
+        if self.level + 1 < self.depth:
+            both = count.reshape(trees, -1, WIDTH, WIDTH)
+            left = self._split(both.sum(axis=3))
+            left = np.einsum("tna,tnab->tnb", left.astype(np.int64), both)
+            by = np.stack([left, both.sum(axis=2) - left], axis=2).reshape(trees, -1, WIDTH)
+        else:
+            by = count.reshape(trees, -1, WIDTH)
+        left = (self._split(by) * by).sum(axis=2)
+        if self.level == self.depth:
+            size = np.stack([left, by.sum(axis=2) - left], axis=2).reshape(trees, -1)
+            own = self.length[:, 2**self.level - 1 :]
+            own[:] = np.where(np.isnan(own), self.level + self._path(size), own)
+
+    def _path(self, size: np.ndarray) -> np.ndarray:
+        return np.interp(size * (self.psi / self.n), *_paths(self.psi))
+
+    def _split(self, by: np.ndarray) -> np.ndarray:
+        """Cut the nodes of a level by their rows' bins; the bins that go left."""
+        a, z = 2**self.level - 1, 2 ** (self.level + 1) - 1
+        upto, own = by.cumsum(axis=2), self.length[:, a:z]
+        size = upto[:, :, -1]
+        # where the ends of as many rows as psi rows would leave here are to be expected
+        end = np.maximum(size / (size * (self.psi / self.n) + 1), 0.5)
+        lo = np.where(size > 0, FIRST + (upto < end[:, :, None]).sum(axis=2), BINS)
+        hi = np.where(size > 0, FIRST + (upto <= (size - end)[:, :, None]).sum(axis=2), -1)
         room = np.maximum(hi - lo, 1)
         some = (size > 0) & np.isnan(own)
-        least[:, a:z] = np.where(some, np.maximum(lo - room, 1), 0)
-        most[:, a:z] = np.where(some, np.minimum(hi + room, BINS - 2), BINS - 1)
-        length[:, a:z] = np.where(np.isnan(own) & ((size <= 1) | (hi <= lo)), level + path[size], own)
-        cutoff[:, a:z] = np.where(hi > lo, lo + 1 + np.floor(r[:, a:z] * (hi - lo)), 0)
-        length[:, 2 * a + 1 : 2 * z + 1 : 2] = length[:, a:z]
-        length[:, 2 * a + 2 : 2 * z + 2 : 2] = length[:, a:z]
-        pos = 2 * pos + 1 + (v >= cutoff.ravel()[at])
-    return Forest(low, step, feat, cutoff, least, most, length, float(max(_c(psi), 1.0)))
+        self.least[:, a:z] = np.where(some, np.maximum(lo - room, 1), 0)
+        self.most[:, a:z] = np.where(some, np.minimum(hi + room, BINS - 2), BINS - 1)
+        own[:] = np.where(np.isnan(own) & ((size * self.psi <= self.n) | (hi <= lo)), self.level + self._path(size), own)
+        cutoff = self.cutoff[:, a:z] = np.where(hi > lo, lo + 1 + np.floor(self.r[:, a:z] * (hi - lo)), 0)
+        self.length[:, 2 * a + 1 : 2 * z + 1 : 2] = own
+        self.length[:, 2 * a + 2 : 2 * z + 2 : 2] = own
+        self.level += 1
+        return np.arange(FIRST, FIRST + WIDTH) < cutoff[:, :, None]
+
+    @property
+    def done(self) -> bool:
+        return self.level == self.depth
+
+    def forest(self) -> Forest:
+        return Forest(self.low, self.step, self.feat, self.cutoff, self.least, self.most, self.length, float(max(_c(self.psi), 1.0)))
+
+
+def grow(x: np.ndarray) -> Forest:
+    """A forest of all rows of x."""
+    g = Grower(x.min(axis=0), x.max(axis=0), len(x))
+    code = g.code(x)
+    while not g.done:
+        g.split(g.count(code))
+    return g.forest()
 
 
 def _walk(forest: Forest) -> np.ndarray:

@@ -2,24 +2,26 @@
 
 Each reading gets features of level, difference (steps, distance to the local median and to the readings around
 runs of one to three), season (distance to the mean of its phase in the source) and run length.  An isolation
-forest per source and field, grown on the central half of ``SAMPLE`` readings drawn by a hash of their keys,
-scores every reading.  Readings that score more than ``MARGIN`` of the way from the ``QUANTILE`` of those central
-readings to 1 are the source's candidates; of these, jumps and far-off levels are reported if an exact test in units of the source's usual
+forest per source and field, grown on the central half of all its readings, scores every reading.  Readings that
+score more than ``MARGIN`` of the way from the ``QUANTILE`` of those central readings to 1 are the source's
+candidates; of these, jumps and far-off levels are reported if an exact test in units of the source's usual
 movement or median absolute deviation confirms them.  Physical limits and frozen runs are explicit rules.
 
 A source of at most ``block`` rows is one group.  Larger sources are numbered in order and cut into blocks with
 a halo on either side that decides every feature and rule exactly; medians come from ``exact_median``, season
-means from one aggregation.  Both ways share features, sample, forest and threshold, so they agree.
+means from one aggregation, and the forest from counts that blocks add up, in ``ROUNDS`` passes over the
+features.  Both ways share features, forest and threshold, so they agree.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +30,14 @@ from trackloom.functions.quantile import exact_median
 from trackloom.plans.cut import cut
 from trackloom.plans.joins import join_checked, null_safe_join
 
-BLOCK, HALO, SAMPLE = 8192, 12, 1024
+BLOCK, HALO = 8192, 12
 #: Readings whose scores are this part of the way from this quantile of the source's central readings to 1 are candidates.
 QUANTILE, MARGIN = 0.98, 0.25
 SEASON, PHASES = 1500, 12
 #: Season means are sums of whole multiples of this, so that their order does not matter.
 GRAIN = 1e-6
+#: Passes over the features of large sources: middles, levels, spreads, central half, six levels of the trees, threshold.
+ROUNDS = 8
 
 
 @dataclass(frozen=True)
@@ -130,41 +134,170 @@ def features(x: np.ndarray, y: np.ndarray, mx: np.ndarray, my: np.ndarray, spike
     return np.stack([np.asarray(c, np.float32) for c in cols], axis=1)
 
 
-def _hash(key: np.ndarray) -> np.ndarray:
-    """Order in which readings are drawn for the forest."""
-    h = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(29))).astype(np.int64)
+def _order(v: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of float32 values."""
+    b = (v.astype(np.float32) + np.float32(0)).view(np.uint32)
+    return np.where(b >> 31, ~b, b | np.uint32(2**31))
+
+
+def _value(key: np.ndarray) -> np.ndarray:
+    key = np.asarray(key).astype(np.uint32)
+    return np.where(key >> 31, key & np.uint32(2**31 - 1), ~key).astype(np.uint32).view(np.float32)
+
+
+def _coarse(v: np.ndarray) -> np.ndarray:
+    """The upper half of ``_order``: values to 1 in 128."""
+    return (_order(v) >> 16).astype(np.uint16)
+
+
+def _tally(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(key.astype(np.int64).ravel(), return_counts=True)
+
+
+def _at(key: np.ndarray, count: np.ndarray, rank: int) -> tuple[int, int]:
+    """Key of the value with this rank (from 0), and how many values have smaller keys."""
+    upto = np.cumsum(count)
+    i = int(np.searchsorted(upto, rank, side="right"))
+    return int(key[i]), int(upto[i] - count[i])
 
 
-@dataclass(frozen=True)
 class Model:
-    """Forest of one source and field, the usual sizes of its features, and the score from which a reading is a candidate."""
+    """Usual sizes of features, forest, and the score from which a reading is a candidate, of one source and field.
+
+    Everything is taken from all readings: in memory by ``fit``, or in ``ROUNDS`` rounds of ``ask``, which gives counts
+    of a part of the readings, and ``tell``, which takes the counts of all parts together.  Medians are the lower
+    ones, those of sizes and spreads to 1 in 128.
+    """
+
+    def __init__(self, width: int):
+        self.round, self.width = 0, width
 
-    forest: iforest.Forest
-    usual: np.ndarray
-    least: float
+    @staticmethod
+    def fit(feat: np.ndarray) -> tuple[Model, np.ndarray]:
+        """The model and the scores of the readings it is taken from."""
+        own, n = Model(feat.shape[1]), len(feat)
+        rank = (n - 1) // 2
+        own._middle(n, np.partition(feat, rank, axis=0)[rank])
+        x = own._sized(feat)
+        off = np.abs(x - own.center)
+        own.spread = own._rough(np.partition(off, rank, axis=0)[rank])
+        far = _coarse(own._far(off))
+        own._central(np.partition(far, rank)[rank])
+        part = x[far <= own.limit]
+        grower = iforest.Grower(part.min(axis=0), part.max(axis=0), len(part))
+        code = grower.code(part)
+        while not grower.done:
+            grower.split(grower.count(code))
+        own.forest = grower.forest()
+        s = iforest.score(own.forest, x)
+        mid = s[far <= own.limit]
+        rank = own._rank(len(mid))
+        own._threshold(int(own._fixed(np.partition(mid, rank)[rank])))
+        return own, s
+
+    def ask(self, feat: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Keys and counts of a part of the readings, for the central half also least and greatest features by key."""
+        column = np.arange(self.width, dtype=np.int64)
+        if self.round == 0:
+            return _tally(_coarse(feat) + (column << 32))
+        if self.round == 1:
+            key = _order(feat[:, : self.levels])
+            key = key + (column[: self.levels] << 32)
+            return _tally(key[key >> 16 == self.bucket + (column[: self.levels] << 16)])
+        x = self._sized(feat)
+        off = np.abs(x - self.center)
+        if self.round == 2:
+            return _tally(_coarse(off) + (column << 32))
+        far = _coarse(self._far(off))
+        if self.round == 3:
+            by = np.argsort(far, kind="stable")
+            key, first = np.unique(far[by], return_index=True)
+            return key.astype(np.int64), np.diff(np.append(first, len(by))), np.minimum.reduceat(x[by], first), np.maximum.reduceat(x[by], first)
+        x = x[far <= self.limit]
+        if self.round < ROUNDS - 1:
+            count = np.zeros(0, np.int64) if self.grower.done or not len(x) else self.grower.count(self.grower.code(x))
+            key = np.flatnonzero(count)
+            return key, count[key]
+        return _tally(self._fixed(iforest.score(self.forest, x)))
 
     @staticmethod
-    def fit(feat: np.ndarray, key: np.ndarray) -> Model:
-        """From the SAMPLE readings with the least hashes."""
-        x = feat[np.lexsort((key, _hash(key)))[:SAMPLE]]
-        usual = np.maximum(np.median(x[:, -6:-1], axis=0), 1e-9)
-        x = _sized(x, usual)
-        x = x[iforest.central_half(x)]
-        forest = iforest.grow(x)
-        usually = float(np.quantile(iforest.score(forest, x), QUANTILE))
-        return Model(forest, usual, usually + MARGIN * (1 - usually))
+    def add(parts: Sequence[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """Answers of several parts together."""
+        if len(parts) == 1:
+            return parts[0]
+        key = np.concatenate([p[0] for p in parts])
+        by = np.argsort(key, kind="stable")
+        key, first = np.unique(key[by], return_index=True)
+        merged = [f.reduceat(np.concatenate([p[i] for p in parts])[by], first) if len(first) else parts[0][i] for i, f in enumerate((np.add, np.minimum, np.maximum)[: len(parts[0]) - 1], 1)]
+        return (key, *merged)
+
+    def tell(self, key: np.ndarray, count: np.ndarray, *ends: np.ndarray) -> None:
+        """Answers of all readings."""
+        of = lambda c: (key >> 32) == c
+        if self.round == 0:
+            self.n = int(count[of(0)].sum())
+            found = [_at(key[of(c)] & 0xFFFF, count[of(c)], (self.n - 1) // 2) for c in range(self.width)]
+            self.bucket, self.below = np.array(found).T[:, : self.levels]
+            self.middle = _value(np.array([k for k, _ in found]) << 16)
+        elif self.round == 1:
+            exact = [_at(key[of(c)] & 0xFFFFFFFF, count[of(c)], (self.n - 1) // 2 - self.below[c])[0] for c in range(self.levels)]
+            self._middle(self.n, np.concatenate([_value(np.array(exact)), self.middle[self.levels :]]))
+        elif self.round == 2:
+            self.spread = _value(np.array([_at(key[of(c)] & 0xFFFF, count[of(c)], (self.n - 1) // 2)[0] for c in range(self.width)]) << 16)
+        elif self.round == 3:
+            self._central(_at(key, count, (self.n - 1) // 2)[0])
+            inside = key <= self.limit
+            self.grower = iforest.Grower(ends[0][inside].min(axis=0), ends[1][inside].max(axis=0), int(count[inside].sum()))
+        elif self.round < ROUNDS - 1:
+            if not self.grower.done:
+                whole = np.zeros(self.grower.places, np.int64)
+                whole[key] = count
+                self.grower.split(whole)
+            if self.round == ROUNDS - 2:
+                self.forest = self.grower.forest()
+                del self.grower
+        else:
+            self._threshold(_at(key, count, self._rank(int(count.sum())))[0])
+        self.round += 1
 
     def score(self, feat: np.ndarray) -> np.ndarray:
-        return iforest.score(self.forest, _sized(feat, self.usual))
+        return iforest.score(self.forest, self._sized(feat))
+
+    @property
+    def levels(self) -> int:
+        return self.width - 6
+
+    def _rough(self, v: np.ndarray) -> np.ndarray:
+        return _value(_order(v) & np.uint32(0xFFFF0000))
+
+    def _middle(self, n: int, middle: np.ndarray) -> None:
+        middle = np.concatenate([middle[: self.levels], self._rough(middle[self.levels :])])
+        self.n, self.usual = n, np.maximum(middle[-6:-1], np.float32(1e-9))
+        self.center = self._sized(middle[None])[0]
 
+    def _sized(self, feat: np.ndarray) -> np.ndarray:
+        """Steps and distances as logarithms in units of their usual sizes."""
+        x = feat.astype(np.float32)
+        x[:, -6:-1] = np.log1p(x[:, -6:-1] / self.usual)
+        return x
 
-def _sized(feat: np.ndarray, usual: np.ndarray) -> np.ndarray:
-    """Steps and distances as logarithms in units of their usual sizes."""
-    x = feat.astype(np.float64)
-    x[:, -6:-1] = np.log1p(x[:, -6:-1] / usual)
-    return x
+    def _far(self, off: np.ndarray) -> np.ndarray:
+        """Distance from the medians in median absolute deviations of the worst feature."""
+        return (off / np.maximum(self.spread, np.float32(1e-9))).max(axis=1)
+
+    def _central(self, limit: int) -> None:
+        self.limit = np.uint16(limit)
+
+    @staticmethod
+    def _rank(n: int) -> int:
+        return max(0, int(np.ceil(QUANTILE * n)) - 1)
+
+    @staticmethod
+    def _fixed(score: np.ndarray) -> np.ndarray:
+        return np.floor(score * 2**20).astype(np.int64)
+
+    def _threshold(self, usually: int) -> None:
+        self.least = usually / 2**20 + MARGIN * (1 - usually / 2**20)
 
 
 def _number(col: pa.ChunkedArray, what=np.float64) -> np.ndarray:
@@ -173,7 +306,7 @@ def _number(col: pa.ChunkedArray, what=np.float64) -> np.ndarray:
     return col.to_numpy().astype(what, copy=False)
 
 
-def _judge(field: Field, x, y, t, rk, possible, halo: int) -> tuple[np.ndarray, ...]:
+def _judge(field: Field, x, y, t, possible, halo: int) -> tuple[np.ndarray, ...]:
     """Score, frozen, odd of the readings of a whole source in order."""
     n = len(x)
     if not n:
@@ -181,8 +314,7 @@ def _judge(field: Field, x, y, t, rk, possible, halo: int) -> tuple[np.ndarray,
     flat = field.y is None
     spikes = spike_runs(x, y)
     feat = features(x, y, season_mean(x, t, possible), season_mean(y, t, possible), spikes, halo, flat)
-    model = Model.fit(feat, rk)
-    s = model.score(feat)
+    model, s = Model.fit(feat)
     candidate = s > model.least
     odd = np.zeros(n, bool)
     with np.errstate(invalid="ignore"):
@@ -224,7 +356,7 @@ def _small(fields: Sequence[Field], names: list[str], types: list[pa.DataType],
             wrong, possible = (one(_number(table.column(f"{c}{i}"), bool), np.logical_or) for c in "wp")
             read = ~(np.isnan(x) | np.isnan(y))
             at = order[(read & there)[order]]
-            s, frozen, odd = _judge(f, x[at], y[at], o[at], rk[at], possible[at], halo)
+            s, frozen, odd = _judge(f, x[at], y[at], o[at], possible[at], halo)
             loose = np.flatnonzero(read & ~there & wrong)
             at = np.concatenate([at, loose])
             none = np.zeros(len(loose), bool)
@@ -241,10 +373,10 @@ def _nulls(col: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(col.is_null().to_numpy(), bool)
 
 
-def _measure(fields: Sequence[Field], names: list[str], types: list[pa.DataType], block: int, halo: int):
-    """Features and undecided spikes of one block of a large source; rows around it are dropped."""
+def _measure(fields: Sequence[Field], block: int, halo: int):
+    """Features, undecided spikes and first answers of one block of a large source; rows around it are dropped."""
     by = {f.name: f for f in fields}
-    schema = pa.schema(list(zip(names, types, strict=True)) + [("field", pa.string()), ("blk", pa.int64()), ("row_key", pa.int64()), ("draw", pa.int64()), ("impossible", pa.bool_()), ("frozen", pa.bool_()), ("step", pa.float64()), ("level", pa.float64()), ("m", pa.list_(pa.float64())), ("g", pa.list_(pa.float64())), ("feat", pa.list_(pa.float32()))])
+    schema = pa.schema([("source", pa.int64()), ("field", pa.string()), ("v", pa.list_(pa.float64())), ("part", pa.binary()), ("feat", pa.binary()), ("rest", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.take(pa.array(np.unique(_number(table.column("n"), np.int64), return_index=True)[1]))
@@ -270,57 +402,85 @@ def _measure(fields: Sequence[Field], names: list[str], types: list[pa.DataType]
         order = np.argsort(at, kind="stable")
         at, ms, gs = at[order].astype(np.int64), ms[order], gs[order]
         inside = np.isin(at, own)
-        at, ms, gs = at[inside], ms[inside], gs[inside]
-        ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(x))[own])]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (ms, gs)]
-        width = np.arange(0, feat.size + 1, feat.shape[1], dtype=np.int32)
-        fl = pa.ListArray.from_arrays(pa.array(width), pa.array(feat.ravel()))
-        key = [pa.repeat(table.column(k)[0], len(own)) for k in names]
-        rk = _number(table.column("rk"), np.int64)[apart:][own]
-        return pa.Table.from_arrays(
-            [*key, pa.repeat(f.name, len(own)), pa.repeat(blk, len(own)), pa.array(rk), pa.array(_hash(rk)), pa.array(wrong[own]), pa.array(frozen),
-             pa.array(step, mask=np.isnan(step)), pa.array(x[own]), *lists, fl], schema=schema)
+        at, ms, gs = at[inside] - (own[0] if len(own) else 0), ms[inside], gs[inside]
+        level = x[own]
+        v = level if f.mad is not None else step[~np.isnan(step)] if f.jump else np.zeros(0)
+        rest = pickle.dumps((_number(table.column("rk"), np.int64)[apart:][own], wrong[own], frozen, level, at, ms, gs))
+        one = [table.column("source")[:1].combine_chunks(), pa.array([f.name]), pa.array([v], pa.list_(pa.float64()))]
+        row = pa.Table.from_arrays([*one, *(pa.array([b], pa.binary()) for b in (pickle.dumps(Model(feat.shape[1]).ask(feat)), feat.tobytes(), rest))], schema=schema)
+        # a halo reaching past the last reading makes a block without rows of its own
+        return row.slice(0, min(len(own), 1))
 
     return run
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    col = table.column("feat").combine_chunks()
-    return col.flatten().to_numpy().reshape(len(col), -1)
+def _ask(models: Broadcast):
+    """Answers of a task's blocks to the round of their source's model, added up."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had: dict = {}
+        for batch in batches:
+            for source, field, feat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (source, field) not in had:
+                    had[source, field] = pickle.loads(models.value[source, field]), None
+                model, answer = had[source, field]
+                new = model.ask(np.frombuffer(feat, np.float32).reshape(-1, model.width))
+                had[source, field] = model, new if answer is None else Model.add([answer, new])
+        for (source, field), (_, answer) in had.items():
+            yield pa.RecordBatch.from_arrays([pa.array([source], pa.int64()), pa.array([field]), pa.array([pickle.dumps(answer)], pa.binary())], ["source", "field", "part"])
+
+    return run
 
-def _fit(names: list[str], types: list[pa.DataType]):
-    schema = pa.schema(list(zip(names, types, strict=True)) + [("field", pa.string()), ("forest", pa.binary())])
+
+def _tell(fields: Sequence[Field], models: Broadcast | None):
+    by = {f.name: f for f in fields}
 
     def run(table: pa.Table) -> pa.Table:
-        model = pickle.dumps(Model.fit(_matrix(table), _number(table.column("row_key"), np.int64)))
-        return pa.Table.from_arrays([*(pa.array([table.column(k)[0].as_py()], t) for k, t in zip([*names, "field"], [*types, pa.string()], strict=True)), pa.array([model], pa.binary())], schema=schema)
+        source, field = table.column("source")[0].as_py(), table.column("field")[0].as_py()
+        model = pickle.loads(models.value[source, field]) if models else Model(7 if by[field].y is None else 8)
+        model.tell(*Model.add([pickle.loads(p.as_py()) for p in table.column("part")]))
+        return pa.table({"source": pa.array([source], pa.int64()), "field": pa.array([field]), "part": pa.array([pickle.dumps(model)], pa.binary())})
 
     return run
 
 
-def _score(rows: pa.Table, model: pa.Table) -> pa.Table:
-    if not rows.num_rows:
-        s, least = np.zeros(0), 1.0
-    else:
-        own = pickle.loads(model.column("forest")[0].as_py())
-        s, least = own.score(_matrix(rows)), own.least
-    return rows.drop_columns(["feat", "draw"]).append_column("score", pa.array(s)).append_column("candidate", pa.array(s > least))
+def _settle(fields: Sequence[Field], models: Broadcast, flagged: bool):
+    """Readings of blocks with their scores and the exact tests; models: (model, usual movement or median, deviation)."""
+    by = {f.name: f for f in fields}
+    names = ["source", "field", "row_key", "score", "impossible", "frozen", "odd"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, field, feat, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                f, (model, mid, mad) = by[field], models.value[source, field]
+                model = pickle.loads(model)
+                rk, wrong, frozen, level, at, m, g = pickle.loads(rest)
+                s = model.score(np.frombuffer(feat, np.float32).reshape(-1, model.width))
+                odd = np.zeros(len(rk), bool)
+                if f.jump and mid is not None:
+                    odd[at[(m > f.jump[0] * mid) & (g <= f.jump[1] * mid)]] = True
+                if f.mad is not None and mad is not None:
+                    odd |= np.abs(level - mid) > f.mad * mad
+                odd &= s > model.least
+                keep = np.flatnonzero(wrong | frozen | odd) if flagged else np.arange(len(rk))
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(source, pa.int64()), len(keep)), pa.repeat(field, len(keep)), *(pa.array(v[keep]) for v in (rk, s, wrong, frozen, odd))], names)
+
+    return run
 
 
-def _large(rows: DataFrame, fields: Sequence[Field], ks: list[str], types: list[pa.DataType], block: int, halo: int, kinds: str) -> DataFrame:
-    """The same judgement for sources of more than a block."""
-    one = rows.groupBy(*ks, "rk").agg(F.min("o").alias("o"), *(F.max(c).alias(c) for c in rows.columns if c not in (*ks, "o", "rk")))
+def _large(rows: DataFrame, fields: Sequence[Field], block: int, halo: int, flagged: bool) -> DataFrame:
+    """The same judgement for sources of more than a block, which are numbered in ``source``."""
+    one = rows.groupBy("source", "rk").agg(F.min("o").alias("o"), *(F.max(c).alias(c) for c in rows.columns if c not in ("source", "o", "rk")))
     one = cut(one)
     parts = []
     for i, f in enumerate(fields):
-        p = one.select(*ks, F.lit(f.name).alias("field"), "o", "rk", F.col(f"x{i}").alias("x"), (F.col(f"y{i}") if f.y else F.lit(0.0)).alias("y"), F.col(f"w{i}").alias("w"), F.col(f"p{i}").alias("p"))
+        p = one.select("source", F.lit(f.name).alias("field"), "o", "rk", F.col(f"x{i}").alias("x"), (F.col(f"y{i}") if f.y else F.lit(0.0)).alias("y"), F.col(f"w{i}").alias("w"), F.col(f"p{i}").alias("p"))
         parts.append(p.where("x is not null and y is not null"))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    loose = long.where("o is null and w").select(*ks, "field", F.col("rk").alias("row_key"), F.lit(1.0).alias("score"), F.col("w").alias("impossible"), F.lit(False).alias("frozen"), F.lit(False).alias("odd"))
-    gk = [*ks, "field"]
+    loose = long.where("o is null and w").select("source", "field", F.col("rk").alias("row_key"), F.lit(1.0).alias("score"), F.col("w").alias("impossible"), F.lit(False).alias("frozen"), F.lit(False).alias("odd"))
+    gk = ["source", "field"]
     long = long.where("o is not null").withColumn("c", F.expr(f"(o - pmod(o, {block}L)) div {block}L")).withColumn("ph", F.expr(f"pmod(o, {SEASON}L) * {PHASES}L div {SEASON}L"))
     mean = lambda c: F.try_divide(F.sum(F.when(F.col("p") & (F.abs(c) < 1e6), F.rint(F.col(c) / GRAIN).cast("long"))).cast("double") * GRAIN, F.count(F.when(F.col("p") & (F.abs(c) < 1e6), 1)))
     seasons = cut(long.groupBy(*gk, "ph").agg(mean("x").alias("mx"), mean("y").alias("my")))
@@ -338,35 +498,23 @@ def _large(rows: DataFrame, fields: Sequence[Field], ks: list[str], types: list[
     before = F.last("l", ignorenulls=True).over(Window.partitionBy(*gk).orderBy("own").rowsBetween(Window.unboundedPreceding, -1))
     last = last.select(*gk, F.col("own").alias("blk"), before.alias("l")).where("l is not null").select(*gk, "blk", "l.*")
     long = long.withColumn("blk", F.explode(near)).drop("own").unionByName(last)
-    measured = f"{kinds}, field string, blk long, row_key long, draw long, impossible boolean, frozen boolean, step double, level double, m array<double>, g array<double>, feat array<float>"
-    # a halo reaching past the last reading makes a block without rows of its own
-    m = cut(long.groupBy(*gk, "blk").applyInArrow(_measure(fields, ks, types, block, halo), measured))
+    m = cut(long.groupBy(*gk, "blk").applyInArrow(_measure(fields, block, halo), "source long, field string, v array<double>, part binary, feat binary, rest binary"))
+    context = m.sparkSession.sparkContext
+    models, answers = None, m.select(*gk, "part")
+    for _ in range(ROUNDS):
+        told = answers.groupBy(*gk).applyInArrow(_tell(fields, models), "source long, field string, part binary").collect()
+        models = context.broadcast({(r["source"], r["field"]): bytes(r["part"]) for r in told})
+        answers = m.select(*gk, "feat").mapInArrow(_ask(models), "source long, field string, part binary")
     jump = [f.name for f in fields if f.jump]
     mad = [f.name for f in fields if f.mad is not None]
-    which = F.when(F.col("field").isin(mad), F.col("level")).otherwise(F.col("step"))
-    mid = cut(exact_median(m.where(F.col("field").isin(jump + mad)).withColumn("v", which), gk, "v", "mid").drop("n"))
-    size = cut(m.groupBy(*gk).agg(F.count("*").alias("total")))
-    # the SAMPLE least hashes are among those below four times their expected bound
-    bound = F.lit(float(2**63)) * (F.lit(8.0 * SAMPLE) / F.col("total") - 1)
-    sample = join_checked(m.select(*gk, "row_key", "draw", "feat"), size, gk).where((F.col("total") <= 4 * SAMPLE) | (F.col("draw").cast("double") < bound))
-    kept = sample.groupBy(*gk).applyInArrow(_fit(ks, types), f"{kinds}, field string, forest binary")
-    per = null_safe_join(m.select(*gk, "blk").distinct(), cut(kept), gk)
-    per = per.select(*(F.col(c).alias(f"q_{c}") for c in [*gk, "blk"]), "forest")
-    scored = m.groupBy(*gk, "blk").cogroup(per.groupBy(*(f"q_{c}" for c in [*gk, "blk"]))).applyInArrow(_score, measured.replace(", draw long", "").replace(", feat array<float>", ", score double, candidate boolean"))
-    scored = join_checked(scored, mid, gk, "left")
-    tests = F.lit(False)
-    for f in fields:
-        if f.jump:
-            hit = F.expr(f"exists(arrays_zip(m, g), p -> p.m > {f.jump[0]}D * mid AND p.g <= {f.jump[1]}D * mid)")
-            tests = F.when(F.col("field") == f.name, F.coalesce(hit, F.lit(False))).otherwise(tests)
+    mid = cut(exact_median(m.where(F.col("field").isin(jump + mad)).select(*gk, F.explode("v").alias("v")), gk, "v", "mid").drop("n"))
+    usual = {(r["source"], r["field"]): r["mid"] for r in mid.collect()}
+    spread = {}
     if mad:
-        off = F.abs(F.col("level") - F.col("mid"))
-        deviations = join_checked(m.select(*gk, "level").where(F.col("field").isin(mad)), mid, gk).withColumn("v", off)
-        scored = join_checked(scored, cut(exact_median(deviations, gk, "v", "mad").drop("n")), gk, "left")
-        for f in fields:
-            if f.mad is not None:
-                tests = F.when(F.col("field") == f.name, F.coalesce(off > f.mad * F.col("mad"), F.lit(False))).otherwise(tests)
-    out = scored.select(*ks, "field", "row_key", "score", "impossible", "frozen", (F.col("candidate") & tests).alias("odd"))
+        deviations = join_checked(m.where(F.col("field").isin(mad)).select(*gk, F.explode("v").alias("v")), mid, gk).withColumn("v", F.abs(F.col("v") - F.col("mid")))
+        spread = {(r["source"], r["field"]): r["mad"] for r in exact_median(deviations, gk, "v", "mad").collect()}
+    known = context.broadcast({k: (v, usual.get(k), spread.get(k)) for k, v in models.value.items()})
+    out = m.select(*gk, "feat", "rest").mapInArrow(_settle(fields, known, flagged), "source long, field string, row_key long, score double, impossible boolean, frozen boolean, odd boolean")
     return out.unionByName(loose)
 
 
@@ -399,18 +547,18 @@ def implausible(df: DataFrame, keys: Sequence[str], order: str, row_key: str, fi
         cols += [F.when(read, y).alias(f"y{i}")] * (f.y is not None)
         cols += [(read & F.coalesce(F.expr(f.wrong), F.lit(False))).alias(f"w{i}"), (read & F.coalesce(F.expr(f.possible), F.lit(True))).alias(f"p{i}")]
     rows = df.select(*cols).where("rk is not null")
-    big = cut(rows.groupBy(*ks).agg(F.count("*").alias("size")).where(F.col("size") > block))
+    big = cut(rows.groupBy(*ks).agg(F.count("*").alias("size")).where(F.col("size") > block).withColumn("source", F.monotonically_increasing_id()))
     types = [to_arrow_type(rows.schema[k].dataType) for k in ks]
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in ks)
     if big.isEmpty():
         small, large = rows, None
     else:
-        mark = big.select(*ks, F.lit(True).alias("is_big"))
-        small = join_checked(rows, mark, ks, "left").where("is_big is null").drop("is_big")
-        large = join_checked(_near(rows, big, ks), mark, ks).drop("is_big")
+        mark = big.select(*ks, "source")
+        small = join_checked(rows, mark, ks, "left").where("source is null").drop("source")
+        large = join_checked(_near(rows, big, ks), mark, ks).drop(*ks)
     halo = max([HALO, *(f.min_run for f in fields)])
     out = small.groupBy(*ks).applyInArrow(_small(fields, ks, types, halo, flagged), f"{kinds}, {_OUT}")
     if large is not None:
-        more = _large(large, fields, ks, types, max(block, 2 * halo), halo, kinds)
-        out = out.unionByName(more.where("impossible or frozen or odd") if flagged else more)
+        more = join_checked(_large(large, fields, max(block, 2 * halo), halo, flagged), mark, ["source"])
+        out = out.unionByName(more.select(*out.columns))
     return out.select(*(F.col(a).alias(k) for k, a in zip(keys, ks, strict=True)), "field", "row_key", "score", "impossible", "frozen", "odd")

@@ -53,6 +53,26 @@ def test_contradictions_shuffle_no_pairs_and_count_repeated_ids_once(spark):
     assert sorted(map(tuple, Q.contradictions(spark.createDataFrame(rows * 2, schema)).collect())) == want
 
 
+def _joined(node) -> int:
+    """Rows that the joins of an executed plan gave."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _joined(node.executedPlan())
+    if "QueryStage" in name:
+        return _joined(node.plan())
+    own = node.metrics().apply("numOutputRows").value() if name.endswith("Join") else 0
+    return own + sum(_joined(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_contradictions_join_packs_of_like_claims_and_not_claims(spark):
+    rows = [(i, ["a", "hot"] if i % 3 else ["hot"], "confirmed", "m", float(i % 4 // 2 * 9 + 1), [i + 1], "the line stands high") for i in range(1400)]
+    found = Q.contradictions(spark.createDataFrame(rows, "id long, tags array<string>, status string, unit string, value double, links array<long>, statement string"))
+    got = [tuple(r) for r in found.collect()]
+    want = {(a, b, "number" if a % 4 // 2 != b % 4 // 2 else "statement") for a, b in itertools.combinations(range(1400), 2) if b != a + 1}
+    assert len(got) == len(want) and set(got) == want
+    assert 0 < _joined(found._jdf.queryExecution().executedPlan()) < len(got) / 1000
+
+
 def test_contradictions_are_sought_over_single_tags(spark, tmp_path):
     parts = [(1, "old bolt", "A", "B1", 1), (6, "new ring", "A", "B2", 50), (9, "cold plate", "C", "B2", 2), (12, "blue cog", "D", "B9", 1)]
     spark.createDataFrame([(*p, 1.0) for p in parts], "p_partkey long, p_name string, p_type string, p_brand string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")

@@ -39,10 +39,26 @@ def _met(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return l.join(r, ["ul", "ur"]).where("id_l <> id_r AND (ul <> ur OR id_l < id_r)")
 
 
-def _unlinked(met: DataFrame, reason: str) -> DataFrame:
-    """(a, b, reason) of the pairs that no link joins; a pair is taken from the least tag it shares."""
-    m = met.where("tag_l = array_min(array_intersect(tags_l, tags_r)) AND NOT array_contains(links_l, id_r) AND NOT array_contains(links_r, id_l)")
-    return m.select(F.least("id_l", "id_r").alias("a"), F.greatest("id_l", "id_r").alias("b"), F.lit(reason).alias("reason"))
+def _lesser() -> Column:
+    """The tags of a claim below the one it is listed under: a pair belongs to the tag below which it shares none."""
+    return F.array_sort(F.expr("filter(tags, x -> x < tag)")).alias("lesser")
+
+
+def _packed(rows: DataFrame, keys: list[str], most: int = 64) -> DataFrame:
+    """Numbered packs of at most ``most`` claims that are alike in the keys, so that what holds for a pair of packs is asked once and not for each pair of claims."""
+    packs = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("id", "links"))).alias("_all"))
+    packs = packs.select(*keys, F.explode(F.expr(f"transform(sequence(1, size(_all), {most}), i -> slice(_all, i, {most}))")).alias("claims"))
+    # the numbers may differ when counted again
+    return cut(packs.withColumn("n", F.monotonically_increasing_id()))
+
+
+def _unpacked(packs: DataFrame, pairs: DataFrame, where: Column, reason: str) -> DataFrame:
+    """(a, b, reason) of the claims, no link joining them, of two packs for which the condition holds, in units that pairs (ul, ur) names."""
+    l, r = (packs.select(F.col("u").alias(f"u{s}"), *(F.col(x).alias(f"{x}_{s}") for x in packs.columns if x != "u")).join(pairs, f"u{s}") for s in ("l", "r"))
+    m = l.join(r, ["ul", "ur"]).where("(ul <> ur OR n_l <= n_r) AND NOT arrays_overlap(lesser_l, lesser_r)").where(where)
+    m = m.select((F.col("n_l") == F.col("n_r")).alias("same"), F.explode("claims_l").alias("l"), "claims_r").select("same", "l", F.explode("claims_r").alias("r"))
+    m = m.where("l.id <> r.id AND (NOT same OR l.id < r.id) AND NOT array_contains(l.links, r.id) AND NOT array_contains(r.links, l.id)")
+    return m.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"), F.lit(reason).alias("reason"))
 
 
 def _units(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
@@ -58,11 +74,13 @@ def _apart(x: str, y: str, ratio: float) -> Column:
 def _far_apart(c: DataFrame, ratio: float, block: int) -> DataFrame:
     """Pairs of a tag and unit whose values differ: value ranges of bounded units meet where their ends can differ enough."""
     c = c.where("unit IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)").withColumn("v", F.col("value").cast("double"))
-    cuts = c.groupBy("tag", "unit").agg(F.count("*").alias("n"), F.percentile_approx("v", [i / 128 for i in range(1, 128)], 1000).alias("cuts")).select("tag", "unit", F.least(F.lit(128), F.ceil(F.col("n") / block)).alias("n"), F.when(F.col("n") > block, F.col("cuts")).alias("cuts"))
+    # up to 16 ranges even below the block, as one pair of units is one task's work
+    ranges = F.expr(f"least(128, greatest(ceil(count(*) / {block}), least(16, ceil(count(*) / 1000))))")
+    cuts = c.groupBy("tag", "unit").agg(ranges.alias("n"), F.percentile_approx("v", [i / 128 for i in range(1, 128)], 1000).alias("cuts")).withColumn("cuts", F.when(F.col("n") > 1, F.col("cuts")))
     at = F.coalesce(F.size(F.filter("cuts", lambda x: x <= F.col("v"))) * F.col("n"), F.lit(0))
     c = join_checked(c, cuts, ["tag", "unit"]).withColumn("range", F.when(F.col("cuts").isNull(), 0).otherwise(F.floor(at / 128))).drop("n", "cuts")
     # sketched cuts may differ when computed again
-    c = cut(_units(c, ["tag", "unit", "range"], block).select("u", "tag", "id", "v", "value", "links", "tags"))
+    c = cut(_units(c, ["tag", "unit", "range"], block).select("u", "id", "v", "value", "links", _lesser()))
     s = c.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     l, r = (s.select(F.col("u.tag"), F.col("u.unit"), F.col("u").alias(f"u{e}"), F.col("lo").alias(f"lo_{e}"), F.col("hi").alias(f"hi_{e}")) for e in ("l", "r"))
     # up to a ratio of 1 the difference beyond the bound is greatest at ends of the ranges
@@ -72,7 +90,7 @@ def _far_apart(c: DataFrame, ratio: float, block: int) -> DataFrame:
         for y in ("lo", "hi"):
             some = some | _apart(f"{x}_l", f"{y}_r", ratio)
     pairs = cut(l.join(r, ["tag", "unit"]).where("ul <= ur").where(some).select("ul", "ur"))
-    return _unlinked(_met(c.drop("v"), pairs).where(_apart("value_l", "value_r", ratio)), "number")
+    return _unpacked(_packed(c, ["u", "value", "lesser"]), pairs, _apart("value_l", "value_r", ratio), "number")
 
 
 def _alike(c: DataFrame, ratio: float, overlap: float, block: int) -> DataFrame:
@@ -92,12 +110,12 @@ def _alike(c: DataFrame, ratio: float, overlap: float, block: int) -> DataFrame:
     two = _met(first.select("u", "id", "w"), l.join(r, "word").where("ul <= ur").select("ul", "ur")).where(jac > overlap)
     alike = two.select(F.least("id_l", "id_r").alias("sl"), F.greatest("id_l", "id_r").alias("sr")).distinct()
     alike = cut(alike.union(sets.where(F.lit(overlap < 1)).select("s", "s")))
-    c = cut(_units(c.select("tag", "s", "id", "links", "tags", "unit", "value"), ["tag", "s"], block))
+    c = _packed(_units(c.select("tag", "s", "id", "links", _lesser(), "unit", "value"), ["tag", "s"], block), ["u", "unit", "value", "lesser"])
     of = c.select("u").distinct()
     l, r = (of.select(F.col("u.tag").alias("tag"), F.col("u.s").alias(f"s{e}"), F.col("u").alias(f"u{e}")) for e in ("l", "r"))
     pairs = cut(alike.join(l, "sl").join(r, ["tag", "sr"]).where("sl <> sr OR ul <= ur").select("ul", "ur"))
     differ = F.coalesce((F.col("unit_l") == F.col("unit_r")) & ~F.isnan("value_l") & ~F.isnan("value_r") & _apart("value_l", "value_r", ratio), F.lit(False))
-    return _unlinked(_met(c.select("u", "tag", "id", "links", "tags", "unit", "value"), pairs).where(~differ), "statement")
+    return _unpacked(c, pairs, ~differ, "statement")
 
 
 def contradictions(claims: DataFrame, *, ratio: float = 0.25, overlap: float = 0.6, block: int = 20_000) -> DataFrame:
